@@ -41,6 +41,7 @@ def pairs_between(
     condition: Column | None = None,
     coarse: float = 8.0,
     hot_cell: int = 4096,
+    few_right: bool = False,
 ) -> DataFrame:
     """All pairs (a from left, b from right) at most ``radius`` apart.
 
@@ -73,9 +74,12 @@ def pairs_between(
     home = clean(left, left_id).select("*", *_cells(names, side))
     away = _spread(clean(right, right_id), "c", names, side, reach)
     keys = ["g", *cell]
+    small = few_right and table_bytes(right) <= BROADCAST_BYTES
     hot = home.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_cell).select(*keys, F.lit(True).alias("hot"))
     fine = [f"f{i}" for i in range(len(coords))]
-    if hot.take(1):
+    if small:
+        fine = []
+    elif hot.take(1):
         if table_bytes(hot) <= BROADCAST_BYTES:
             hot = F.broadcast(hot)
         home, away = (x.join(hot, keys, "left") for x in (home, away))
@@ -89,7 +93,8 @@ def pairs_between(
         fine = []
     on = [*keys, *fine]
     # one shuffle each: repeats meet in their cell, and the join keeps the partitioning
-    home, away = (x.repartition(*on).dropDuplicates() for x in (home, away))
+    if not small:
+        home, away = (x.repartition(*on).dropDuplicates() for x in (home, away))
     value = [*names, *(f"v_{c}" for c in carry)]
     a = home.select(*on, F.col("id").alias("id_a"), *(F.col(v).alias(f"{v}_a") for v in value))
     b = away.select(*(F.col(c).alias(f"{c}_r") for c in on), F.col("id").alias("id_b"), *(F.col(v).alias(f"{v}_b") for v in value))
@@ -99,9 +104,10 @@ def pairs_between(
         meet &= F.col(c) == F.col(f"{c}_r")
     if ordered:
         meet &= F.col("id_a") < F.col("id_b")
-    joined = a.join(b, meet)
+    joined = a.join(F.broadcast(b) if small else b, meet)
     out = joined.select(F.col("g").alias("group_key"), "id_a", "id_b", dist2.alias("dist2"), *(F.col(f"v_{c}_{s}").alias(f"{c}_{s}") for c in carry for s in "ab"))
-    return out.where(condition) if condition is not None else out
+    out = out.where(condition) if condition is not None else out
+    return out.dropDuplicates() if small else out
 
 
 def pairs_within(points: DataFrame, ident: str, coords: list[str], radius: float, **options) -> DataFrame:

@@ -57,5 +57,5 @@ class Scratch:
 
 def table_bytes(table: DataFrame) -> int:
     """Size by the optimizer's statistics; file sizes for a written table."""
-    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
