@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions.ids import integer_id, strip_blanks
 from skein.llm.clusters import describe_clusters, isolated_clusters, markov_clusters
 from skein.llm.components import group_links
+from skein.llm.pii import find_personal_information, redact_personal_information
 from skein.llm.quantiles import RANK_ERROR, merge_sketches, rank_errors, sketch_quantiles, sketch_values
 
 FRACTIONS = {"p01": 0.01, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999": 0.999}
@@ -121,6 +122,19 @@ def _p5_sql() -> str:
     SELECT DISTINCT row_index, least AS cluster_id FROM t SEMI JOIN ok USING (seed)"""
 
 
+# --- 8: personal information
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_information(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_parts"))
+    return found.select("doc_id", "kind", "found").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return redact_personal_information(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_parts"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_group_sizes": p3_group_sizes,
@@ -129,6 +143,8 @@ QUERIES = {
     "p4_rank_check": p4_rank_check,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 SQL = {
