@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from skein.functions.ids import integer_id, strip_blanks
 from skein.llm.clusters import describe_clusters, isolated_clusters, markov_clusters
 from skein.llm.components import group_links
+from skein.llm.mixing import mix_sources
+from skein.llm.packing import pack, packing_report
 from skein.llm.pii import find_personal_information, redact_personal_information
 from skein.llm.quantiles import RANK_ERROR, merge_sketches, rank_errors, sketch_quantiles, sketch_values
+from skein.llm.tokens import token_sizes
 
 FRACTIONS = {"p01": 0.01, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 
@@ -122,6 +125,37 @@ def _p5_sql() -> str:
     SELECT DISTINCT row_index, least AS cluster_id FROM t SEMI JOIN ok USING (seed)"""
 
 
+# --- 6: containers filled with documents
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the containers of every capacity."""
+    sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", table(spark, sf_dir, "pack_capacities"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_report(p6_packing(spark, sf_dir))
+
+
+# --- 7: sources mixed to their target shares
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", ("source",))
+    return mix_sources(sizes, "doc_id", "source", "n_tokens", table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in training order."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 # --- 8: personal information
 
 
@@ -143,6 +177,10 @@ QUERIES = {
     "p4_rank_check": p4_rank_check,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
+    "p6_packing": p6_packing,
+    "p6_report": p6_report,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_redacted": p8_redacted,
 }
