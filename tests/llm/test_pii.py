@@ -39,14 +39,14 @@ def test_found_as_written(text, wanted):
 
 def test_compounds_of_an_incomplete_list():
     assert PARTS.roles("Marlis") == "g" and PARTS.roles("Holmqvist") == "f" and PARTS.roles("Homberg") == ""
-    few = NameParts([("Marven", "given"), ("Marlis", "given"), ("Torven", "given"), ("Carlis", "given")])
+    few = NameParts([("Marven", "given"), ("Marlis", "given"), ("Torven", "given"), ("Carlis", "given"), ("Torvan", "given")])
     assert few.roles("TORLIS") == "g" and few.roles("Venmar") == ""
 
 
 def test_plain_text_leads_back():
-    source = "A (at) b (dot) cc, Ｘ１‑２​, раура1, five five five zero one two, Dae-\nlov"
+    source = "A (at) b (dot) cc, Ｘ１‑２​, раураl1, five five five zero one two, Dae-\nlov"
     plain = Plain(source)
-    assert plain.text == "A@b.cc, X1-2, paypa1, 5 5 5 0 1 2, Daelov"
+    assert plain.text == "A@b.cc, X1-2, paypal1, 5 5 5 0 1 2, Daelov"
     assert source[slice(*plain.span(0, 6))] == "A (at) b (dot) cc"
     at = plain.text.index("Daelov")
     assert source[slice(*plain.span(at, at + 6))] == "Dae-\nlov"
