@@ -30,17 +30,15 @@ for _c in "：，；、！？":
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 _NUMBER = re.compile(rf"\b(?:{_DIGIT})(?:[ -](?:{_DIGIT})){{5,}}\b", re.I)
 _WORD = re.compile(_DIGIT, re.I)
-#: What may be a disguise, by its first character: an entity, a written-out at
-#: or dot, a word broken at a line end, an address broken at its @, characters
-#: with a plain shape.
+_SPELLED_MARKS = tuple(space + word for word in SPELLED for space in " -")
 _PLAIN = "".join(_ONE)
-_SPECIAL = re.compile(
-    # all begin with one set of characters, so that a text is searched fast
-    rf"[&\[({{<@＠{_PLAIN}\-](?:(?<=&)(?:#64;|#x40;|commat;|nbsp;)"
-    r"|(?<=[\[({<])(?:(?:at|AT|At|arroba|ARROBA|arobase|AROBASE)|(?:dot|DOT|Dot|punkt|PUNKT|punto|PUNTO|point|POINT))[\])}>] ?"
-    r"|(?<=[-‐‑－])[\u200b\u00ad]?\n(?=[^\W\d_])|(?<=[@＠])(?: (?=\S)|\n(?=\S))?"
-    rf"|(?<=[{_PLAIN}])[{_PLAIN}]*)"
-)
+#: Disguises by kind; a kind is searched for only in texts that hold its mark.
+_SIGNS = re.compile(rf"[@＠{_PLAIN}](?:(?<=[@＠])(?: (?=\S)|\n(?=\S))?|(?<=[{_PLAIN}])[{_PLAIN}]*)")
+_BROKEN = re.compile(r"[-‐‑－][\u200b\u00ad]?\n(?=[^\W\d_])")
+_WRITTEN = re.compile(r"[\[({<](?:(?:at|AT|At|arroba|ARROBA|arobase|AROBASE)|(?:dot|DOT|Dot|punkt|PUNKT|punto|PUNTO|point|POINT))[\])}>] ?")
+_WRITTEN_MARKS = tuple(f"{word}{close}" for word in ("at", "AT", "At", "arroba", "ARROBA", "arobase", "AROBASE") for close in "])}>")
+_ENTITY = re.compile(r"&(?:#64;|#x40;|commat;|nbsp;)")
+_BROKEN_MARKS = ("-\n", "-\u200b\n", "-\u00ad\n", "‐\n", "‑\n", "－\n")
 _HOMOGLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")
 _MIXED = re.compile(r"[A-Za-z]")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -51,20 +49,28 @@ class Plain:
 
     def __init__(self, source: str):
         edits: list[tuple[int, int, str]] = []
-        for m in _SPECIAL.finditer(source):
-            start, found = m.start(), m.group()
-            if found[0] in "[({<@＠" and source[start - 1 : start] == " " and start > 1:
+        found = list(_SIGNS.finditer(source)) if not source.isascii() or "@" in source else []
+        if "&" in source:
+            found += _ENTITY.finditer(source)
+        if any(mark in source for mark in _WRITTEN_MARKS):
+            found += _WRITTEN.finditer(source)
+        if any(mark in source for mark in _BROKEN_MARKS):
+            found += (m for m in _BROKEN.finditer(source) if source[m.start() - 1 : m.start()].isalpha())
+        for m in found:
+            start, text = m.start(), m.group()
+            if text[0] in "[({<@＠" and source[start - 1 : start] == " " and start > 1:
                 start -= 1
-            elif found[-1] == "\n" and found[0] in "-‐‑－" and not source[start - 1 : start].isalpha():
-                continue
-            edits.append((start, m.end(), self._spelling(found)))
+            edits.append((start, m.end(), self._spelling(text)))
         if not source.isascii() and _HOMOGLYPH.search(source):  # Latin words with letters of other scripts
             for word in _LETTERS.finditer(source):
                 if _HOMOGLYPH.search(word.group()) and _MIXED.search(word.group()):
                     edits += [(word.start() + i, word.start() + i + 1, HOMOGLYPHS[c]) for i, c in enumerate(word.group()) if c in HOMOGLYPHS]
-        for m in _NUMBER.finditer(source):
+        lower = source.lower()
+        spelled = sum(lower.count(mark) for mark in _SPELLED_MARKS) >= 5  # a number has six words, five of them after a space or hyphen
+        for m in _NUMBER.finditer(source) if spelled else ():
             edits += [(m.start() + w.start(), m.start() + w.end(), SPELLED[w.group().lower()]) for w in _WORD.finditer(m.group())]
-        edits.sort()
+        # where two begin together the longer one counts
+        edits.sort(key=lambda e: (e[0], -e[1]))
         out, at, length = [], 0, 0
         #: of each edit: start and end in the plain text, start and end in the source
         self.plain_starts, self.plain_ends, self.source_starts, self.source_ends = [], [], [], []

@@ -139,6 +139,8 @@ _WEST = [re.compile(rf"(?<![\w/]){s}{_TAIL}") for s in _STREET]
 _WEST_HINTS = (
     "Street St. St, Lane Ln Road Rd Avenue Ave Terrace Way Drive Court Place Close Row Square Hill Boulevard Blvd Crescent Gardens Grove Mews Parade Walk Box Postfach Apartado Boîte BP B.P str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str. rue avenue av. boulevard bd chemin allée impasse quai route cours Calle C/ Avda Av. Avenida Plaza Pza Paseo Camino Ronda Travesía Carretera"
 ).split() + ["Am ", "An der ", "An den ", "Im ", "In der ", "Zum ", "Zur ", "Auf de", "Unter den ", "Hinter der ", " place d", " square d"]
+#: Ends of German street names, hints only before a number.
+_NUMBERED = frozenset("str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str.".split())
 _EAST_HINTS = ("号", "丁目", "番地", "番")
 _HAN = "㐀-䶿一-鿿々"
 _CJK = re.compile(f"[{_HAN}぀-ヿ]")
@@ -382,7 +384,7 @@ def find_spans(source: str, parts: NameParts) -> list[tuple[int, int, str]]:
     for last, (length, kinds, bounded) in parts.hints.iter(text):
         at = last - length + 1
         for kind in kinds:
-            if kind == "w" and bounded and at and text[at - 1].isalpha():
+            if kind == "w" and (bounded and at and text[at - 1].isalpha() or text[at:last + 1] in _NUMBERED and not text[last + 2 : last + 3].isdigit()):
                 continue
             places[kind].append(at)
     found = [(a, b, EMAIL) for a, b in _emails(text)]
