@@ -13,6 +13,7 @@ from skein.operators.copies import max_abs_difference
 from skein.operators.mixture import Gate
 from skein.operators.near import finite
 from skein.operators.score import best_match, better_equal_worse, field_summary, fragments_and_merges, resolution_flags, retention_agreement
+from skein.plans import montecarlo
 from skein.plans.refine import numbered_leaves, pipeline, seed_nodes
 from skein.plans.stage1 import groups_at_radius, spatial_groups
 from skein.sources.tables import join_kinematics, unfinished
@@ -437,6 +438,17 @@ def placed_stars(spark, sf_dir):
 _PLACED_SQL = f"""WITH {_S}, a AS (SELECT realisation, max(velocity_direction_angle_rad) AS a FROM run_metadata WHERE realisation IS NOT NULL AND isfinite(velocity_direction_angle_rad) GROUP BY realisation)
   SELECT realisation, label, round(avg(cos(a)*x_pc - sin(a)*y_pc), 6) AS x, round(avg(sin(a)*x_pc + cos(a)*y_pc), 6) AS y FROM s JOIN a USING (realisation) WHERE label <> 'background' AND isfinite(x_pc) AND isfinite(y_pc) GROUP BY ALL"""
 
+def generated_fields(spark, sf_dir):
+    """The labelled stars placed anew in every registered run, with velocities: spread and mean velocity per label."""
+    made = stars(spark, sf_dir).where("label <> 'background'").where(finite(F.col("x_pc")) & finite(F.col("y_pc")) & finite(F.col("z_pc")))
+    labels = [x.template_label for x in table(spark, sf_dir, "templates").select("template_label").orderBy("template_label").collect()]  # fixed, 12
+    templates = montecarlo.centred_templates(made.where("realisation = 0").select("label", F.col("row_index").alias("id"), *(F.col(c).alias(a) for c, a in zip(AT, "xyz"))))
+    fields = table(spark, sf_dir, "run_metadata").where("realisation is not null").select(F.col("realisation").alias("g")).distinct()
+    placed = montecarlo.place(templates, montecarlo.placements(fields, labels))
+    moving = montecarlo.inject_velocities(placed, (labels[0], labels[1]), 5.0, 1.0)
+    return moving.groupBy(F.col("g").alias("realisation"), "label").agg(F.count("*").alias("n"), F.avg(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("distance"), F.avg("vl").alias("mean_vl"), F.avg("vb").alias("mean_vb"))
+
+
 # --- the staged analysis itself
 
 
@@ -470,7 +482,7 @@ QUERIES = {
     for f in (
         canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, overlap_resolution, realisation_summary, retention,
         group_boxes, coverage_gate, jenks_by_label, two_line_by_label, scatter_by_label, mann_whitney_by_survey, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
-        purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, stage1_scales, refined_s3_s2, refined_s2_s3_passes,
+        purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, generated_fields, stage1_scales, refined_s3_s2, refined_s2_s3_passes,
     )
 }
 

@@ -1,0 +1,92 @@
+"""Fields with planted groups of known members, made from templates."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# How far groups lie from the origin and from each other (pc), and the two that overlap along a ray.
+NEAREST, FARTHEST, APART = 30.0, 1000.0, 120.0
+RAY, OVERLAP = (600.0, 820.0), (57.0, 83.0)
+BASE_SEED = 20260725
+MOST_TRIALS = 1000
+
+
+def _turn(rng: np.random.Generator) -> np.ndarray:
+    """A uniformly random rotation, from a random unit quaternion."""
+    w, x, y, z = (q := rng.normal(size=4)) / np.linalg.norm(q)
+    return np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)], [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)], [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)]])
+
+
+def placements(runs: DataFrame, labels: list[str], seed: int = BASE_SEED) -> DataFrame:
+    """A centre and a rotation for every label in every run (``g``): ``g``, ``label``, ``cx``, ``cy``, ``cz``, ``r11`` ... ``r33``, ``angle``.
+
+    Each run draws from a generator seeded by its number, so a lost task draws
+    the same again.  The first two labels lie on one ray, 57 to 83 pc apart;
+    the others at least 120 pc from all before them (at most 1,000 trials
+    each, then an error).
+    """
+    names = [f"r{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)]
+    schema = "g bigint, label string, cx double, cy double, cz double, " + ", ".join(f"{n} double" for n in names) + ", angle double"
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for g in batch["g"]:
+                rng = np.random.default_rng(seed + int(g))
+                angle, centres = rng.uniform(0, 2 * np.pi), []
+                ray = rng.normal(size=3)
+                ray /= np.linalg.norm(ray)
+                near = rng.uniform(*RAY)
+                far = near + rng.uniform(*OVERLAP)
+                for k, label in enumerate(labels):
+                    if k < 2:
+                        centre = ray * (near, far)[k]
+                    else:
+                        for _ in range(MOST_TRIALS):
+                            centre = _turn(rng)[0] * rng.uniform(NEAREST, FARTHEST)
+                            if all(np.linalg.norm(centre - c) >= APART for c in centres):
+                                break
+                        else:
+                            raise ValueError(f"no place for {label} in run {g}")
+                    centres.append(centre)
+                    rows.append((int(g), label, *centre, *_turn(rng).ravel(), angle))
+            yield pd.DataFrame(rows, columns=["g", "label", "cx", "cy", "cz", *names, "angle"])
+
+    return runs.select("g").mapInPandas(draw, schema)
+
+
+def centred_templates(stars: DataFrame) -> DataFrame:
+    """``label``, ``member`` and positions relative to the label's coordinate-wise median."""
+    middle = stars.groupBy("label").agg(*(F.median(c).alias(f"m{c}") for c in "xyz"))
+    return stars.join(F.broadcast(middle), "label").select("label", F.col("id").alias("member"), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
+
+
+def place(templates: DataFrame, placed: DataFrame) -> DataFrame:
+    """Every template member in every run: ``g``, ``label``, ``member``, ``x``, ``y``, ``z``, by columns of the rotation."""
+    joined = templates.join(placed, "label")
+    moved = [sum((F.col(f"r{i}{j}") * F.col(c) for j, c in ((2, "y"), (3, "z"))), F.col(f"r{i}1") * F.col("x")) + F.col(f"c{a}") for i, a in ((1, "x"), (2, "y"), (3, "z"))]
+    return joined.select("g", "label", "member", *(m.alias(a) for m, a in zip(moved, "xyz")), "angle")
+
+
+def normal_draw(*keys: Column | str, seed: int = 0) -> Column:
+    """A standard normal number that depends only on ``keys`` and ``seed``."""
+    u = [(F.xxhash64(*keys, F.lit(seed * 2 + k)) / F.lit(2.0**64)) + 0.5 for k in (0, 1)]
+    return F.sqrt(-2 * F.ln(F.greatest(u[0], F.lit(2.0**-60)))) * F.cos(2 * np.pi * u[1])
+
+
+def inject_velocities(points: DataFrame, pair: tuple[str, str], delta_v: float, sigma: float, seed: int = 1) -> DataFrame:
+    """``vl`` and ``vb``: normal noise, and half of ``delta_v`` along the run's angle for each of the overlapping pair, apart."""
+    side = F.when(F.col("label") == pair[0], -delta_v / 2).when(F.col("label") == pair[1], delta_v / 2).otherwise(0.0)
+    noise = [sigma * normal_draw("g", "label", "member", seed=seed + k) for k in (0, 1)]
+    return points.withColumns({"vl": noise[0] + side * F.cos("angle"), "vb": noise[1] + side * F.sin("angle")})
+
+
+def with_levels(points: DataFrame, column: str, levels: list[float], draw: Column) -> DataFrame:
+    """Every point at every noise level, one common draw scaled by the levels; only finite values get noise."""
+    level = F.explode(F.array(*(F.lit(float(x)) for x in levels))).alias("sigma")
+    return points.select("*", draw.alias("__draw"), level).withColumn(column, F.col(column) + F.col("sigma") * F.col("__draw")).drop("__draw")

@@ -1,0 +1,49 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from skein.plans import montecarlo as mc
+from skein.streaming.arrivals import append_available, new_records
+
+LABELS = ["t1", "t2", "t3", "t4"]
+
+
+def test_placements_keep_their_distances_and_repeat(spark):
+    runs = spark.range(5).toDF("g")
+    rows = mc.placements(runs, LABELS).collect()
+    again = {(r.g, r.label): r for r in mc.placements(runs.repartition(3), LABELS).collect()}
+    assert len(rows) == 20 and all(again[r.g, r.label] == r for r in rows)
+    for g in range(5):
+        at = {r.label: (r.cx, r.cy, r.cz) for r in rows if r.g == g}
+        assert 57 <= math.dist(at["t1"], at["t2"]) <= 83
+        assert all(math.dist(at[a], at[b]) >= 120 for a in ("t3", "t4") for b in LABELS if b < a)
+
+
+def test_members_move_rigidly(spark):
+    stars = spark.createDataFrame([(lab, i, float(i), float(i * i), 1.0) for lab in LABELS for i in range(5)], "label string, id long, x double, y double, z double")
+    templates = mc.centred_templates(stars)
+    rows = mc.place(templates, mc.placements(spark.range(2).toDF("g"), LABELS)).collect()
+    before = {(r.label, r.member): (r.x, r.y, r.z) for r in templates.collect()}
+    for g in (0, 1):
+        after = {(r.label, r.member): (r.x, r.y, r.z) for r in rows if r.g == g}
+        for lab in LABELS:
+            assert math.dist(after[lab, 0], after[lab, 4]) == pytest.approx(math.dist(before[lab, 0], before[lab, 4]))
+
+
+def test_velocities_and_noise(spark):
+    points = spark.range(4000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") < 2000, "t1").otherwise("t2").alias("label"), F.col("id").alias("member"), F.lit(0.0).alias("angle"), F.lit(1.0).alias("av"))
+    moved = mc.inject_velocities(points, ("t1", "t2"), 6.0, 1.0)
+    got = {r.label: (r.m, r.s) for r in moved.groupBy("label").agg(F.avg("vl").alias("m"), F.stddev("vb").alias("s")).collect()}
+    assert got["t1"][0] == pytest.approx(-3, abs=0.1) and got["t2"][0] == pytest.approx(3, abs=0.1) and got["t1"][1] == pytest.approx(1, abs=0.06)
+    noisy = mc.with_levels(points, "av", [0.0, 0.5], mc.normal_draw("member"))
+    spread = {r.sigma: r.s for r in noisy.groupBy("sigma").agg(F.stddev("av").alias("s")).collect()}
+    assert spread[0.0] == 0 and spread[0.5] == pytest.approx(0.5, abs=0.03)
+
+
+def test_arrivals_once(spark, tmp_path):
+    schema = "i long, at timestamp"
+    for n, rows in enumerate(([(1, "2024-01-01"), (2, "2024-01-01"), (1, "2024-01-02")], [(2, "2024-01-03"), (3, "2024-01-03"), (None, "2024-01-03")])):
+        spark.createDataFrame(rows, "i long, t string").select("i", F.to_timestamp("t").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        append_available(new_records(spark, str(tmp_path / "in"), schema, "i", "at"), "at", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        assert sorted(r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [[1, 2], [1, 2, 3]][n]
