@@ -74,7 +74,7 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
             continue
         run = m.group()
         # a new line or sentence within the run begins another number
-        for stop in ("\n", ". ", ") ("):
+        for stop in ("\n", ". ", " ("):
             cut = run.find(stop, 6)
             if cut > 0 and len(_DIGITS.sub("", run[:cut])) >= 7:
                 run = run[:cut]
@@ -187,7 +187,7 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _BETWEEN = re.compile(rf"(?:[ \n]{_PARTICLE})*[ \n]", re.I)
 _INITIAL = re.compile(r"[ \n]?[^\W\d_]\.(?:[ -]?[^\W\d_]\.)*(?=[ \n-])")
 _FIRST_INITIAL = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.[ \n-]?){1,3}$")
-_FRENCH = re.compile(r"(?:\bpar|\bà|\bde|\bSigné|\bet|\bMonsieur)[ \n]$")
+_FRENCH = re.compile(r"\bpar[ \n]$")
 _LAST_INITIAL = re.compile(r"[ \n][^\W\d_]\.(?![^\W\d_])")
 
 

@@ -69,3 +69,15 @@ def test_tables(spark):
     texts = {r.d: r.text for r in redact_personal_information(docs, "d", "text", parts).collect()}
     assert texts == {1: "[EMAIL] " * 3000, 2: None, 3: "", 4: "nothing"}
     assert find_personal_information(docs.limit(0), "d", "text", parts.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("menés par M. Marven Holmberg, tél. 555-0193.", [("person_name", "marvenholmberg"), ("phone", "5550193")]),
+        ("est due à M. Holmberg. On", [("person_name", "mholmberg")]),
+        ("Reach us: (555) 555-0181 (13) y = 2", [("phone", "5555550181")]),
+    ],
+)
+def test_titles_and_what_follows_a_number(text, wanted):
+    assert [(kind, as_found(text[a:b])) for a, b, kind in find_spans(text, PARTS)] == wanted
