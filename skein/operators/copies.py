@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.ids import strip_blanks
+
 NUMBER, TEXT = "number", "text"
 
 
@@ -14,7 +16,7 @@ def _cell(df: DataFrame, name: str, kind: str) -> Column:
     if kind == NUMBER:
         number = df[name].cast("double")
         return F.when(~F.isnan(number), number)
-    return F.lower(F.trim(df[name].cast("string")))
+    return F.lower(strip_blanks(df[name].cast("string")))
 
 
 def diff_copies(

@@ -157,6 +157,78 @@ def percolation(forest: DataFrame, job: str = "percolation", scan_edges: int = S
     return out
 
 
+def _by_size(edges: DataFrame, task_edges: int) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of groups that fit a task, and those of larger groups (None if there are none)."""
+    large = edges.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > task_edges).select("g")
+    if not large.take(1):
+        return edges, None
+    return edges.join(large, "g", "left_anti"), edges.join(large, "g", "left_semi")
+
+
+def _task_forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kruskal's forest of one group's edges with the percolation scan along it."""
+    u, v, w = (pdf[c].to_numpy() for c in "uvw")
+    parent: dict = {}
+    sizes: dict = {}
+    rows, largest = [], 1
+    for i in np.lexsort((v, u, w)):
+        ends = []
+        for x in (u[i], v[i]):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = parent[x]
+            ends.append(x)
+        a, b = ends
+        if a != b:
+            total = sizes.get(a, 1) + sizes.get(b, 1)
+            low, high = (a, b) if a < b else (b, a)
+            parent[high], sizes[low] = low, total
+            rows.append((i, largest, max(largest, total)))
+            largest = max(largest, total)
+    at, before, after = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+    return pd.DataFrame({"g": pdf["g"].iloc[0], "rank": np.arange(1, len(at) + 1), "u": u[at], "v": v[at], "w": w[at], "largest_before": before, "largest_after": after})
+
+
+def forest_scan(edges: DataFrame, job: str = "forest-scan", task_edges: int = SCAN_EDGES) -> DataFrame:
+    """Spanning forest and percolation scan of every group of ``edges`` (``g``, ``u`` < ``v``, ``w``, written).
+
+    As :func:`percolation` of :func:`spanning_forest`.  Groups of up to
+    ``task_edges`` edges are done inside a task; larger ones as tables.
+    """
+    small, large = _by_size(edges, task_edges)
+    out = small.groupBy("g").applyInPandas(_task_forest, "g bigint, rank bigint, u bigint, v bigint, w double, largest_before bigint, largest_after bigint")
+    if large is not None:
+        forest = spanning_forest(large.select("u", "v", "w"), job)
+        field = large.select("g", "u", "v")
+        out = out.unionByName(percolation(forest.join(field, ["u", "v"]).select("g", "u", "v", "w").distinct(), job))
+    return out
+
+
+def _task_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for u, v in zip(pdf["u"].to_numpy(), pdf["v"].to_numpy()):
+        a, b = root(u), root(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    ids = np.fromiter(parent, dtype=np.int64, count=len(parent))
+    return pd.DataFrame({"id": ids, "component": np.array([root(x) for x in ids], dtype=np.int64)})
+
+
+def grouped_components(edges: DataFrame, job: str = "grouped", task_edges: int = SCAN_EDGES) -> DataFrame:
+    """As :func:`connected_components`, for ``edges`` (``g``, ``u``, ``v``, written) that never cross groups: small groups inside a task."""
+    edges = edges.where("g is not null and u is not null and v is not null")
+    small, large = _by_size(edges, task_edges)
+    out = small.groupBy("g").applyInPandas(_task_components, "id bigint, component bigint")
+    return out if large is None else out.unionByName(connected_components(large, job=job))
+
+
 def percolation_limit(scan: DataFrame) -> DataFrame:
     """Per group the first edge weight with the strictly largest growth of the largest component.
 
@@ -169,3 +241,10 @@ def percolation_limit(scan: DataFrame) -> DataFrame:
     previous = scan.select(F.col("g").alias("pg"), F.col("rank").alias("prank"), F.col("w").alias("pw"))
     joined = at.join(previous, (F.col("g") == F.col("pg")) & (F.col("rank_before") == F.col("prank")), "left")
     return joined.select("g", F.col("w").alias("limit"), "jump", "largest_before", "largest_after", ((F.col("w") + F.coalesce("pw", "w")) / 2).alias("midpoint"))
+
+
+def coherence_threshold(scan: DataFrame, share: float = 0.8) -> DataFrame:
+    """Per group the first edge weight at which the largest component holds ``share`` of its points (those on the forest)."""
+    total = scan.groupBy("g").agg((F.count("*") + 1).alias("n"))
+    held = scan.join(total, "g").where(F.col("largest_after") >= F.ceil(F.col("n") * share))
+    return held.groupBy("g").agg(F.min("w").alias("threshold"))

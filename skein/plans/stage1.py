@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.operators.breaks import jenks_two_class
-from skein.operators.graph import connected_components, percolation, percolation_limit, spanning_forest
+from skein.operators.graph import forest_scan, grouped_components, percolation_limit
 from skein.operators.near import finite, pairs_within
 from skein.operators.running import running
 from skein.scratch import Scratch
@@ -67,11 +67,10 @@ def linking_scale(points: DataFrame, scratch: Scratch, *, start: float = 1.3, gr
     spacing = scratch.keep(mean_spacing(points), "spacing")
     waiting, radius, limits, forests = points, start, [], []
     while True:
-        edges = near_edges(waiting, spacing, radius)
-        forest = spanning_forest(edges.select("u", "v", "w"))
-        field = waiting.select("g", F.col("id").alias("u"))
-        forest = scratch.keep(forest.join(field, "u").select("g", "u", "v", "w"), "forest")
-        scan = scratch.keep(percolation(forest), "scan")
+        edges = scratch.keep(near_edges(waiting, spacing, radius), "edges")
+        scan = scratch.keep(forest_scan(edges), "scan")
+        scratch.drop(edges)
+        forest = scan.select("g", "u", "v", "w")
         limit = percolation_limit(scan).join(spacing, "g", "right")
         # the scan ends with the largest component that the radius shows
         ends = scan.groupBy("g").agg(F.max("largest_after").alias("largest"))
@@ -91,8 +90,8 @@ def linking_scale(points: DataFrame, scratch: Scratch, *, start: float = 1.3, gr
 
 
 def numbered_groups(links: DataFrame, fields: DataFrame, min_size: int, scratch: Scratch) -> DataFrame:
-    """Components of ``links`` (``u``, ``v``) with ``min_size`` members, numbered 1, 2 ... per field by their smallest id."""
-    named = scratch.keep(connected_components(links).join(fields.select("g", "id"), "id"), "components")
+    """Components of ``links`` (``g``, ``u``, ``v``) with ``min_size`` members, numbered 1, 2 ... per field by their smallest id."""
+    named = scratch.keep(grouped_components(scratch.keep(links, "links")).join(fields.select("g", "id"), "id"), "components")
     sizes = named.groupBy("g", "component").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     numbers = running(sizes, ["g"], ["component"], None, "groups").select("g", "component", "size", F.col("rank").alias("group_id"))
     return named.join(numbers, ["g", "component"]).select("g", "id", "group_id", F.col("size").alias("group_rows"))
@@ -129,7 +128,7 @@ def groups_at_radius(df: DataFrame, ident: str, group: str, coords: list[str], r
     """
     scratch = Scratch(df.sparkSession, "radius")
     points = scratch.keep(clean_points(df, ident, group, coords), "points")
-    pairs = pairs_within(points, "id", AXES, radius, group="g").select(F.col("id_a").alias("u"), F.col("id_b").alias("v"))
+    pairs = pairs_within(points, "id", AXES, radius, group="g").select(F.col("group_key").alias("g"), F.col("id_a").alias("u"), F.col("id_b").alias("v"))
     if min_size <= 1:
-        pairs = pairs.unionByName(points.select(F.col("id").alias("u"), F.col("id").alias("v")))
+        pairs = pairs.unionByName(points.select("g", F.col("id").alias("u"), F.col("id").alias("v")))
     return numbered_groups(pairs, points, min_size, scratch)

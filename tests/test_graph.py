@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators.breaks import jenks_two_class, two_line_cdf
-from skein.operators.graph import connected_components, percolation, percolation_limit, spanning_forest
+from skein.operators.graph import coherence_threshold, connected_components, forest_scan, grouped_components, percolation, percolation_limit, spanning_forest
 from skein.operators.running import running
 
 
@@ -112,3 +112,19 @@ def test_two_lines_meet_at_the_bend(spark):
     frame = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)] + [(2, 1, 3.0)], "g long, id long, v double")
     got = {r.g: r for r in two_line_cdf(frame, ["g"], "v", "id").collect()}
     assert abs(got[1].threshold - 1.0) < 0.05 and got[1].improvement > 0.9 and got[2].threshold == 3.0
+
+
+def test_small_groups_in_tasks_and_large_ones_as_tables_agree(spark):
+    rnd = random.Random(9)
+    points = [(g, 100 * g + i, rnd.random(), rnd.random()) for g in (0, 1) for i in range(30)]
+    edges = [(p[0], p[1], q[1], round(math.dist(p[2:], q[2:]), 2)) for p in points for q in points if p[0] == q[0] and p[1] < q[1]]
+    frame = spark.createDataFrame(edges, "g long, u long, v long, w double")
+    one, other = (sorted(tuple(r) for r in forest_scan(frame, task_edges=n).collect()) for n in (10**6, 0))
+    assert one == other and len(one) == 58
+    assert [(w, b, a) for g, _, _, _, w, b, a in one if g == 1] == scan(kruskal([e[1:] for e in edges if e[0] == 1]))
+    few = frame.where("w < 0.1")
+    a, b = (sorted(tuple(r) for r in grouped_components(few, task_edges=n).collect()) for n in (10**6, 0))
+    assert a == b and dict(a) == components([(u, v) for _, u, v, w in edges if w < 0.1])
+    assert forest_scan(frame.limit(0)).count() == 0 and grouped_components(frame.limit(0)).count() == 0
+    rows = [(w, after) for g, _, _, _, w, _, after in one if g == 0]
+    assert {r.g: r.threshold for r in coherence_threshold(forest_scan(frame)).collect()}[0] == min(w for w, after in rows if after >= 24)
