@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.functions import astro
 from skein.functions.ids import canonical_id, safe_double
 from skein.operators.near import finite
 
@@ -90,6 +91,39 @@ def join_kinematics(base: DataFrame, kinematics: DataFrame, columns: list[str],
     return joined.select(*(base[c] for c in kept), *(F.col(f"__{c}").alias(c) for c in columns), F.coalesce("__matched", F.lit(False)).alias("matched"))
 
 
+def kinematics(raw: DataFrame, base: DataFrame | None = None, frame: str = "lsr") -> DataFrame:
+    """``source_id``, ``vl_lsr_kms``, ``vb_lsr_kms`` from whatever the table holds.
+
+    Velocity columns are taken as they are (``lsr``) or freed of the solar
+    motion (``heliocentric``, which needs galactic coordinates).  Without them
+    they come from ICRS positions, proper motions and the distances in
+    ``base``; rows that aren't finite or have no positive distance get null.
+    Only one velocity column, or another ``frame``, is an error.
+    """
+    if frame not in ("lsr", "heliocentric"):
+        raise ValueError(f"no frame {frame}")
+    vl, vb = (find_column(raw, c, False) for c in ("vl_lsr_kms", "vb_lsr_kms"))
+    if (vl is None) != (vb is None):
+        raise ValueError(f"only one velocity column: {vl or vb}")
+    ident = canonical_id(column(raw, "source_id")).alias("source_id")
+    if vl:
+        v = [safe_double(F.col(c)) for c in (vl, vb)]
+        if frame == "heliocentric":
+            solar = astro.solar_projection(safe_double(column(raw, "l_deg")), safe_double(column(raw, "b_deg")))
+            v = [a + b for a, b in zip(v, solar)]
+        return raw.select(ident, v[0].alias("vl_lsr_kms"), v[1].alias("vb_lsr_kms"))
+    if base is None:
+        raise ValueError("proper motions need the distances of the base catalogue")
+    sky = raw.select(ident, *(safe_double(column(raw, c)).alias(c) for c in ("ra_deg", "dec_deg", "pmra_masyr", "pmdec_masyr")))
+    far = base.select(canonical_id(column(base, "source_id")).alias("source_id"), safe_double(column(base, "distance_pc")).alias("d"))
+    both = sky.join(far, "source_id")
+    l, b = astro.icrs_to_galactic(F.col("ra_deg"), F.col("dec_deg"))
+    pm = astro.proper_motion_to_galactic(F.col("ra_deg"), F.col("dec_deg"), F.col("pmra_masyr"), F.col("pmdec_masyr"))
+    moved = both.select("source_id", "d", l.alias("l"), b.alias("b"), *(p.alias(n) for p, n in zip(pm, ("pl", "pb"))))
+    solar = astro.solar_projection(F.col("l"), F.col("b"))
+    return moved.select("source_id", *((astro.proper_motion_velocity(F.col(p), F.col("d")) + s).alias(n) for p, s, n in zip(("pl", "pb"), solar, ("vl_lsr_kms", "vb_lsr_kms"))))
+
+
 # ---------------------------------------------------------------- run archives
 
 RUN = r"(?i)mc_(\d+)"

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from skein.operators.mixture import Gate, fit_one, fit_two, gate_nodes
-from skein.plans.refine import membership, numbered_leaves, pipeline, refine, seed_nodes
+from skein.plans.refine import membership, numbered_leaves, pipeline, refine, refine_shared_parent, seed_nodes
 from skein.plans.stage1 import groups_at_radius, spatial_groups
 from skein.scratch import Scratch
 
@@ -57,6 +57,15 @@ def test_policies_and_limits(spark, nodes):
     assert refine(members.limit(0), scales, Gate(("av",))).members.count() == 0
 
 
+def test_only_the_shared_parent(spark, nodes):
+    members, scales = nodes
+    scores = spark.createDataFrame([(0, "a", 1), (0, "b", 1), (0, "c", 2)], "g long, label string, best_group long")
+    one = refine_shared_parent(members, scores, scales, Gate(("av",)), ("a", "b"))
+    assert {r.node for r in one.members.select("node").distinct().collect()} == {"0:G001.a1", "0:G001.b1", "0:G002"}
+    apart = refine_shared_parent(members, scores, scales, Gate(("av",)), ("a", "c"))
+    assert {r.node for r in apart.members.select("node").distinct().collect()} == {"0:G001", "0:G002"}
+
+
 def test_gate_reasons(spark):
     rnd = random.Random(4)
     rows = [("two", i, rnd.gauss(0 if i % 2 else 5, 0.5)) for i in range(40)] + [("one", 100 + i, rnd.gauss(0, 1)) for i in range(40)]

@@ -36,6 +36,19 @@ def test_kinematics(spark):
             t.join_kinematics(base, spark.createDataFrame(wrong, "id string, v double"), ["v"])
 
 
+def test_kinematic_modes(spark):
+    direct = spark.createDataFrame([("1", "2.5", "x", 0.0, 0.0)], "id string, V_L_LSR_KMS string, vb_lsr string, glon double, glat double")
+    assert tuple(t.kinematics(direct).first()) == ("1", 2.5, None)
+    assert t.kinematics(direct, frame="heliocentric").first().vl_lsr_kms == pytest.approx(2.5 + 12.24)
+    raw = spark.createDataFrame([("1.0", 10.0, 20.0, 3.0, 4.0), ("2", 10.0, 20.0, 3.0, 4.0)], "id string, ra double, dec double, pmra double, pmdec double")
+    base = spark.createDataFrame([("1", 1000.0), ("2", -1.0)], "source_id string, distance double")
+    rows = {r.source_id: r for r in t.kinematics(raw, base).collect()}
+    assert rows["1"].vl_lsr_kms is not None and rows["2"].vl_lsr_kms is None
+    for wrong in (lambda: t.kinematics(direct, frame="icrs"), lambda: t.kinematics(direct.drop("vb_lsr")), lambda: t.kinematics(raw)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
 def test_runs_from_folders_and_zips(spark, tmp_path):
     for n in (3, 12):
         folder = tmp_path / "dirs" / f"mc_{n:04d}"
