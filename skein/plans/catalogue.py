@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import astro
 from skein.functions.ids import BLANKS, canonical_id
 from skein.functions.stats import Z95, bh_qvalues, bootstrap_mean, effect_size, mann_whitney, paired_deltas, robust_scatter, wilson_interval
+from skein.operators.bimodality import bimodality
 from skein.operators.breaks import jenks_two_class, two_line_cdf
 from skein.operators.copies import max_abs_difference
 from skein.operators.mixture import Gate
@@ -270,7 +271,7 @@ def scatter_by_label(spark, sf_dir):
     """Robust scatter of each label's reddening and its effect size against the background."""
     s = robust_scatter(stars(spark, sf_dir), ["label"], "reddening_mag")
     ground = s.where("label = 'background'").select(F.col("middle").alias("m0"), F.col("scatter").alias("s0"))
-    both = s.crossJoin(F.broadcast(ground))  # one row
+    both = s.join(F.broadcast(ground))  # one row
     return both.select("label", "n", r("middle").alias("middle"), r("scatter").alias("scatter"), r(effect_size(F.col("middle"), F.col("scatter"), F.col("m0"), F.col("s0"))).alias("effect"))
 
 
@@ -293,6 +294,11 @@ _MANN_SQL = f"""WITH {_S}, v AS (SELECT survey, label = 'background' AS side, re
   SELECT survey, n_a, n_b, round(u, 6) AS u, round(greatest(abs(u - n_a::DOUBLE * n_b / 2) - 0.5, 0) / sd, 6) AS z FROM u"""
 
 
+def bimodality_by_label(spark, sf_dir):
+    """Whether each label's reddening looks like two populations."""
+    return bimodality(stars(spark, sf_dir), ["label"], "reddening_mag")
+
+
 def noise_sweep(spark, sf_dir):
     """Reddening with one normal draw a star, scaled by each noise level: spread per label and level."""
     u = lambda m, a: f"((row_index * {m}L + {a}L) % 4294967296L + 0.5D) / 4294967296.0D"
@@ -481,7 +487,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, overlap_resolution, realisation_summary, retention,
-        group_boxes, coverage_gate, jenks_by_label, two_line_by_label, scatter_by_label, mann_whitney_by_survey, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
+        group_boxes, coverage_gate, jenks_by_label, two_line_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
         purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, generated_fields, stage1_scales, refined_s3_s2, refined_s2_s3_passes,
     )
 }
