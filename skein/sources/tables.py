@@ -31,8 +31,8 @@ SYNONYMS = {
     "dec_deg": ("dec_deg", "dec", "de_icrs"),
     "pmra_masyr": ("pmra_masyr", "pmra", "pm_ra"),
     "pmdec_masyr": ("pmdec_masyr", "pmdec", "pm_dec"),
-    "vl_lsr_kms": ("vl_lsr_kms", "v_l_lsr_kms", "vl_lsr"),
-    "vb_lsr_kms": ("vb_lsr_kms", "v_b_lsr_kms", "vb_lsr"),
+    "vl_lsr_kms": ("v_l_lsr_kms", "vl_lsr_kms", "v_l_lsr", "vl_lsr"),
+    "vb_lsr_kms": ("v_b_lsr_kms", "vb_lsr_kms", "v_b_lsr", "vb_lsr"),
 }
 
 

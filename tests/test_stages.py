@@ -50,6 +50,7 @@ def test_policies_and_limits(spark, nodes):
     members, scales = nodes
     single = refine(members, scales, Gate(("av",)), policy="single")
     assert {r.node for r in single.members.select("node").distinct().collect()} == {"0:G001.a", "0:G001.b", "0:G002"}
+    assert {r.status for r in single.nodes.collect()} == {"split", "final_no_significant_reddening_bimodality"}
     with pytest.raises(RuntimeError):
         refine(members, scales, Gate(("av",)), max_passes=1)
     with pytest.raises(ValueError):
@@ -66,6 +67,17 @@ def test_only_the_shared_parent(spark, nodes):
     assert {r.node for r in apart.members.select("node").distinct().collect()} == {"0:G001", "0:G002"}
 
 
+def test_halves_that_fall_apart_or_are_too_small(spark):
+    rnd = random.Random(11)
+    spread = [(i, 0, 50.0 * i if i % 2 else rnd.gauss(0, 1), 0.0, 0.0, 2.0 + rnd.gauss(0, 0.05) if i % 2 else rnd.gauss(0, 0.05)) for i in range(40)]
+    small = [(100 + i, 0, rnd.gauss(0, 1), 500.0, 0.0, 3.0 + rnd.gauss(0, 0.05) if i < 8 else rnd.gauss(0, 0.05)) for i in range(40)]
+    frame = spark.createDataFrame(spread + small, "id long, g long, x double, y double, z double, av double").selectExpr("*", "if(id < 100, '0:G001', '0:G002') as node", "if(id < 100, 1, 2) as root", "0 as generation")
+    scales = spark.createDataFrame([(0, 5.0)], "g long, cut double")
+    for policy, apart in (("all", "final_reddening_bimodal_one_side_no_spatial_component"), ("single", "final_reddening_bimodal_spatial_split_not_binary")):
+        ended = {r.node: r.status for r in refine(frame, scales, Gate(("av",)), policy=policy).nodes.collect()}
+        assert ended == {"0:G001": apart, "0:G002": "final_reddening_bimodal_jenks_side_below_min_group"}
+
+
 def test_gate_reasons(spark):
     rnd = random.Random(4)
     rows = [("two", i, rnd.gauss(0 if i % 2 else 5, 0.5)) for i in range(40)] + [("one", 100 + i, rnd.gauss(0, 1)) for i in range(40)]
