@@ -15,9 +15,6 @@ def spark():
         .config("spark.sql.shuffle.partitions", "2")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        # tables of a few rows: compiling plans would take longer than running them
-        .config("spark.sql.codegen.wholeStage", "false")
-        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .getOrCreate()
