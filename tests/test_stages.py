@@ -126,3 +126,18 @@ def test_stage1_on_a_field(spark):
         inside.add(v)
         edges.append(w)
     assert scales[1].limit == pytest.approx(max(e for e in edges if e <= scales[1].limit + 1e-9))
+
+
+def test_one_population_isnt_two_halves(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    one, near = rng.normal(0, 1, 600), np.where(np.arange(600) % 2, 0.0, 1.5) + rng.normal(0, 1, 600)
+    flat = rng.normal(0, 1, (600, 2))
+    rows = [(name, i, float(v), float(flat[i, 0]), float(flat[i, 1])) for name, x in (("one", one), ("near", near)) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "node string, id long, v double, a double, b double")
+    for gate, failed, most in ((Gate(("v",)), "ashman_d", 100_000), (Gate(("v",)), "ashman_d", 0), (Gate(("a", "b")), "separation_d", 100_000)):
+        for r in gate_nodes(frame, gate, Scratch(spark, "t"), task_rows=most)[0].collect():
+            assert r.separation < 2 and failed in r.reason, (r, most)
+    fit = fit_two(one.reshape(-1, 1))
+    assert fit[3].shape == (2, 1) and abs(fit[2] @ fit[3][:, 0] - one.mean()) < 1e-6
