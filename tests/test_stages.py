@@ -128,16 +128,38 @@ def test_stage1_on_a_field(spark):
     assert scales[1].limit == pytest.approx(max(e for e in edges if e <= scales[1].limit + 1e-9))
 
 
-def test_one_population_isnt_two_halves(spark):
+def test_one_population_isnt_two_halves(spark, monkeypatch):
     import numpy as np
 
+    from skein.operators import mixture
+
     rng = np.random.default_rng(5)
     one, near = rng.normal(0, 1, 600), np.where(np.arange(600) % 2, 0.0, 1.5) + rng.normal(0, 1, 600)
     flat = rng.normal(0, 1, (600, 2))
     rows = [(name, i, float(v), float(flat[i, 0]), float(flat[i, 1])) for name, x in (("one", one), ("near", near)) for i, v in enumerate(x)]
     frame = spark.createDataFrame(rows, "node string, id long, v double, a double, b double")
+    monkeypatch.setattr(mixture, "MOST_STEPS", 20)
     for gate, failed, most in ((Gate(("v",)), "ashman_d", 100_000), (Gate(("v",)), "ashman_d", 0), (Gate(("a", "b")), "separation_d", 100_000)):
         for r in gate_nodes(frame, gate, Scratch(spark, "t"), task_rows=most)[0].collect():
             assert r.separation < 2 and failed in r.reason, (r, most)
     fit = fit_two(one.reshape(-1, 1))
     assert fit[3].shape == (2, 1) and abs(fit[2] @ fit[3][:, 0] - one.mean()) < 1e-6
+
+
+def test_overlapping_populations_settle_on_both_paths(spark, monkeypatch):
+    import numpy as np
+
+    from skein.operators import mixture
+
+    monkeypatch.setattr(mixture, "MOST_STEPS", 12)
+
+    rng = np.random.default_rng(2)
+    slow = np.where(np.arange(500) % 5 == 0, 0.0, 3.0) + rng.normal(0, 1, 500)  # takes many steps
+    frame = spark.createDataFrame([("slow", i, float(v)) for i, v in enumerate(slow)] + [("fast", 1000 + i, float(v)) for i, v in enumerate(np.where(np.arange(60) % 2, 0.0, 9.0) + rng.normal(0, 1, 60))], "node string, id long, v double")
+    beyond = {r.node: r for r in gate_nodes(frame, Gate(("v",)), Scratch(spark, "t"), task_rows=0)[0].collect()}
+    for node, rows in frame.toPandas().groupby("node"):
+        x = rows[["v"]].to_numpy()
+        ll, resp, _, means, covs = fit_two(x)
+        assert beyond[node].delta_bic == pytest.approx(2 * (ll - fit_one(x)) - 3 * np.log(len(x)), abs=1e-6)
+        assert beyond[node].separation == pytest.approx(np.sqrt(2) * abs(means[1, 0] - means[0, 0]) / np.sqrt(covs.sum()), abs=1e-6)
+        assert sorted((beyond[node].n_low, beyond[node].n_high)) == sorted([(resp[:, 1] > resp[:, 0]).sum(), (resp[:, 1] <= resp[:, 0]).sum()])
