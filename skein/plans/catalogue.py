@@ -445,10 +445,10 @@ _PLACED_SQL = f"""WITH {_S}, a AS (SELECT realisation, max(velocity_direction_an
   SELECT realisation, label, round(avg(cos(a)*x_pc - sin(a)*y_pc), 6) AS x, round(avg(sin(a)*x_pc + cos(a)*y_pc), 6) AS y FROM s JOIN a USING (realisation) WHERE label <> 'background' AND isfinite(x_pc) AND isfinite(y_pc) GROUP BY ALL"""
 
 def generated_fields(spark, sf_dir):
-    """The labelled stars placed anew in every registered run, with velocities: spread and mean velocity per label."""
+    """The labelled stars of all realisations placed anew in every registered run, with velocities: spread and mean velocity per label."""
     made = stars(spark, sf_dir).where("label <> 'background'").where(finite(F.col("x_pc")) & finite(F.col("y_pc")) & finite(F.col("z_pc")))
     labels = [x.template_label for x in table(spark, sf_dir, "templates").select("template_label").orderBy("template_label").collect()]  # fixed, 12
-    templates = montecarlo.centred_templates(made.where("realisation = 0").select("label", F.col("row_index").alias("id"), *(F.col(c).alias(a) for c, a in zip(AT, "xyz"))))
+    templates = montecarlo.pooled_templates(made.select(F.col("realisation").alias("g"), "label", canonical_id(F.col("source_id")).alias("star"), F.col("row_index").alias("id"), *(F.col(c).alias(a) for c, a in zip(AT, "xyz"))))
     fields = table(spark, sf_dir, "run_metadata").where("realisation is not null").select(F.col("realisation").alias("g")).distinct()
     placed = montecarlo.place(templates, montecarlo.placements(fields, labels))
     moving = montecarlo.inject_velocities(placed, (labels[0], labels[1]), 5.0, 1.0)

@@ -66,6 +66,20 @@ def centred_templates(stars: DataFrame) -> DataFrame:
     return stars.join(F.broadcast(middle), "label").select("label", F.col("id").alias("member"), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
 
 
+def pooled_templates(stars: DataFrame) -> DataFrame:
+    """The templates of all fields (``g``, null for unknown) as one: every star (``star``) of a label once.
+
+    Positions are relative to the median of the label in the star's own field.
+    A star of several records counts by the first (field, id); an empty
+    ``star`` is a star of its own.
+    """
+    middle = stars.groupBy("g", "label").agg(*(F.median(c).alias(f"m{c}") for c in "xyz")).withColumnsRenamed({"g": "__g", "label": "__label"})
+    near = stars.join(middle, F.col("g").eqNullSafe(F.col("__g")) & (F.col("label") == F.col("__label"))).select("g", "label", "star", F.col("id").alias("member"), *((F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"))
+    own = F.when(F.col("star") == "", F.concat(F.lit("row "), F.col("member").cast("string"))).otherwise(F.col("star"))
+    first = near.groupBy("label", own.alias("star")).agg(F.min_by(F.struct("member", "x", "y", "z"), F.struct(F.col("g").isNull().alias("unknown"), "g", "member")).alias("s"))
+    return first.select("label", "s.*")
+
+
 def place(templates: DataFrame, placed: DataFrame) -> DataFrame:
     """Every template member in every run: ``g``, ``label``, ``member``, ``x``, ``y``, ``z``, by columns of the rotation."""
     joined = templates.join(placed, "label")

@@ -47,3 +47,15 @@ def test_arrivals_once(spark, tmp_path):
         spark.createDataFrame(rows, "i long, t string").select("i", F.to_timestamp("t").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         append_available(new_records(spark, str(tmp_path / "in"), schema, "i", "at"), "at", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert sorted(r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [[1, 2], [1, 2, 3]][n]
+
+
+def test_templates_hold_the_stars_of_all_fields(spark, tmp_path):
+    from skein.plans.catalogue import generated_fields
+
+    stars = [(i, i % 2 if i < 8 else None, f"s{i % 7}" if i < 8 else "", "t1" if i != 5 else " T2", float(i), 1.0, 2.0) for i in range(10)]
+    stars = spark.createDataFrame(stars, "row_index long, realisation long, source_id string, true_label string, x_pc double, y_pc double, z_pc double")
+    stars.withColumns({"ingested_at": F.lit(0), "exported_at": F.lit(0)}).write.parquet(str(tmp_path / "stars.parquet"))
+    spark.createDataFrame([("t1",), ("t2",)], "template_label string").write.parquet(str(tmp_path / "templates.parquet"))
+    spark.createDataFrame([(0,), (1,), (4,)], "realisation long").write.parquet(str(tmp_path / "run_metadata.parquet"))
+    # s0 stands in rows 0 and 7, and the stars without an id are two
+    assert {(r.realisation, r.label): r.n for r in generated_fields(spark, str(tmp_path)).collect()} == {(g, x): n for g in (0, 1, 4) for x, n in (("t1", 8), ("t2", 1))}
