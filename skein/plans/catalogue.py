@@ -296,7 +296,7 @@ _MANN_SQL = f"""WITH {_S}, v AS (SELECT survey, label = 'background' AS side, re
 
 def bimodality_by_label(spark, sf_dir):
     """Whether each label's reddening looks like two populations."""
-    return bimodality(stars(spark, sf_dir), ["label"], "reddening_mag")
+    return bimodality(stars(spark, sf_dir), ["label"], "reddening_mag", resamples=250)
 
 
 def noise_sweep(spark, sf_dir):

@@ -22,3 +22,17 @@ def test_bins_change_little(spark, monkeypatch):
     coarse = b.bimodality(frame, ["k"], "v").first()
     assert coarse.n == exact.n and abs(coarse.mean_low - exact.mean_low) < 0.05 and abs(coarse.ashman_d - exact.ashman_d) < 0.1
     assert b.bimodality(frame.limit(0), ["k"], "v").count() == 0
+
+
+def test_large_groups_are_exact_and_samples_whole(spark, monkeypatch):
+    rnd = random.Random(3)
+    frame = spark.createDataFrame([(None, rnd.gauss(0 if i % 2 else 5, 1)) for i in range(400)] + [(1, 90.0 if i == 0 else rnd.gauss(i % 2 * 8, 1)) for i in range(60)], "k long, v double")
+    inside = {r.k: r for r in b.bimodality(frame, ["k"], "v").collect()}
+    monkeypatch.setattr(b, "TASK_VALUES", 100)
+    beyond = {r.k: r for r in b.bimodality(frame, ["k"], "v", resamples=3).collect()}
+    for k in (None, 1):
+        for c in ("n", "likelihood_ratio", "ashman_d", "least_weight", "mean_low", "mean_high"):
+            assert abs(beyond[k][c] - inside[k][c]) < 1e-6 * (1 + abs(inside[k][c])), (k, c)
+        assert beyond[k].p == 0.25
+    # the ratio of one normal doesn't grow with its rows
+    assert max(b.null_ratio(500_000, 3.0, 2.0, [1, i]) for i in range(5)) < 40
