@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.operators.near import finite
-from skein.operators.running import running
+from skein.operators.running import rank_quantile, running
 
 # Fixed value: the normal quantile of a two-sided 95 % interval.
 Z95 = 1.959963984540054
@@ -38,13 +38,15 @@ def robust_scatter(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
     Scatter is 1.4826 times the median absolute deviation; where that is 0
     the interquartile range over 1.349; where that is 0 too the standard
-    deviation; null below two values.
+    deviation; null below two values.  Quantiles come from ranks, so a group
+    may be of any size.
     """
-    clean = _clean(df, by, value)
-    first = clean.groupBy(*by).agg(F.count("*").alias("n"), F.median("x").alias("middle"), (F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"), F.stddev_samp("x").alias("sd"))
+    clean = running(_clean(df, by, value), by, ["x"], None, "scatter")
+    first = clean.groupBy(*by).agg(F.count("*").alias("n"), rank_quantile(0.5, "x").alias("middle"), (rank_quantile(0.75, "x") - rank_quantile(0.25, "x")).alias("iqr"), F.stddev_samp("x").alias("sd"))
     keyed = first.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), "middle")
     same = reduce(lambda p, q: p & q, (F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)))
-    mad = clean.join(keyed, same).groupBy(*by).agg(F.median(F.abs(F.col("x") - F.col("middle"))).alias("mad"))
+    gaps = clean.join(keyed, same).select(*by, F.abs(F.col("x") - F.col("middle")).alias("gap"))
+    mad = running(gaps, by, ["gap"], None, "gaps").groupBy(*by).agg(rank_quantile(0.5, "gap").alias("mad"))
     mad = mad.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), "mad")
     scatter = F.when(F.col("n") < 2, F.lit(None)).when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("iqr") > 0, F.col("iqr") / 1.349).otherwise(F.col("sd"))
     return first.join(mad, same).select(*by, "n", "middle", scatter.alias("scatter"))

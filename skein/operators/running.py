@@ -55,6 +55,14 @@ def running(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Colu
     )
 
 
+def rank_quantile(q: float, value: str) -> Column:
+    """An aggregate over the rows of ``running``: the quantile of a group without nulls, interpolated, from the one or two rows at its rank."""
+    at = 1 + F.lit(q) * (F.col("group_rows") - 1)
+    low = F.floor(at)
+    share = at - low
+    return F.sum(F.when(F.col("rank") == low, (1 - share) * F.col(value)).when((F.col("rank") == low + 1) & (share > 0), share * F.col(value)))
+
+
 def neighbour_value(ranked: DataFrame, by: list[str], value: str, name: str = "next_value") -> DataFrame:
     """``ranked`` with the ``value`` of the row one rank further in its group (null for the last)."""
     after = ranked.select(*(F.col(c).alias(f"__n{i}") for i, c in enumerate(by)), (F.col("rank") - 1).alias("__rank"), F.col(value).alias(name))

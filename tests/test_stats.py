@@ -100,3 +100,14 @@ def test_scores(spark):
     assert retention_agreement(t, m, m.where("group_id = 1")).first().agreement == pytest.approx(1 - 9 / 37)
     pairs = m.select("g", F.col("group_id").alias("a"), F.col("group_id").alias("b"))
     assert adjusted_rand(pairs).first().adjusted_rand == 1.0
+
+
+def test_quantiles_from_ranks(spark):
+    rnd = random.Random(5)
+    frame = spark.createDataFrame([(k, rnd.gauss(0, 1)) for k in (1, 2, None) for _ in range(20 + (k or 0))], "g long, v double")
+    out = robust_scatter(frame, ["g"], "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan
+    for r in out.collect():
+        values = [x.v for x in frame.where(F.col("g").eqNullSafe(F.lit(r.g))).collect()]
+        assert r.middle == pytest.approx(statistics.median(values)) and r.scatter == pytest.approx(1.4826 * statistics.median(abs(v - r.middle) for v in values))
