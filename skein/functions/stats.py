@@ -123,7 +123,7 @@ def paired_deltas(runs: DataFrame, key: str, is_baseline: Column, metrics: list[
     return joined.select(*runs.columns, *((value[m] - F.col(f"__{m}")).alias(f"delta_{m}") for m in metrics))
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, ident: str, *, resamples: int = 2000, seed: int = 12345, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_mean(df: DataFrame, by: list[str], value: str, ident: str, *, resamples: int = 20_000, seed: int = 12345, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """Mean of each group with a bootstrap interval.
 
     A Poisson bootstrap: each row weighs Poisson(1) in every resample, drawn

@@ -111,3 +111,9 @@ def test_quantiles_from_ranks(spark):
     for r in out.collect():
         values = [x.v for x in frame.where(F.col("g").eqNullSafe(F.lit(r.g))).collect()]
         assert r.middle == pytest.approx(statistics.median(values)) and r.scatter == pytest.approx(1.4826 * statistics.median(abs(v - r.middle) for v in values))
+
+
+def test_bootstrap_takes_the_reference_s_resamples(spark):
+    frame = spark.createDataFrame([(1, i, float(i % 7)) for i in range(30)], "g long, i long, v double")
+    usual, many = bootstrap_mean(frame, ["g"], "v", "i").first(), bootstrap_mean(frame, ["g"], "v", "i", resamples=20_000).first()
+    assert (usual.low, usual.high) == pytest.approx((many.low, many.high), abs=1e-12)
