@@ -21,6 +21,8 @@ INVISIBLE = "­​‌‍⁠﻿"
 SPELLED = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
 _ONE = {**{c: "-" for c in HYPHENS}, **{c: " " for c in SPACES}, **{c: "" for c in INVISIBLE}, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}}
@@ -36,7 +38,7 @@ _PLAIN = "".join(_ONE)
 _SIGNS = re.compile(rf"[@＠{_PLAIN}](?:(?<=[@＠])(?: (?=\S)|\n(?=\S))?|(?<=[{_PLAIN}])[{_PLAIN}]*)")
 _BROKEN = re.compile(r"[-‐‑－][\u200b\u00ad]?\n(?=[^\W\d_])")
 _WRITTEN = re.compile(r"[\[({<](?:(?:at|AT|At|arroba|ARROBA|arobase|AROBASE)|(?:dot|DOT|Dot|punkt|PUNKT|punto|PUNTO|point|POINT))[\])}>] ?")
-_WRITTEN_MARKS = tuple(f"{word}{close}" for word in ("at", "AT", "At", "arroba", "ARROBA", "arobase", "AROBASE") for close in "])}>")
+_WRITTEN_MARKS = tuple(f"{word}{close}" for word in ("at", "AT", "At", "arroba", "ARROBA", "arobase", "AROBASE", "dot", "DOT", "Dot", "punkt", "PUNKT", "punto", "PUNTO", "point", "POINT") for close in "])}>")
 _ENTITY = re.compile(r"&(?:#64;|#x40;|commat;|nbsp;)")
 _BROKEN_MARKS = ("-\n", "-\u200b\n", "-\u00ad\n", "‐\n", "‑\n", "－\n")
 _HOMOGLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")

@@ -81,3 +81,18 @@ def test_tables(spark):
 )
 def test_titles_and_what_follows_a_number(text, wanted):
     assert [(kind, as_found(text[a:b])) for a, b, kind in find_spans(text, PARTS)] == wanted
+
+
+@pytest.mark.parametrize(
+    "text, plain",
+    [
+        ("jo@firm[dot]com", "jo@firm.com"),
+        ("jo&#64;firm (dot) com", "jo@firm.com"),
+        ("jo@firma{PUNTO}es", "jo@firma.es"),
+        ("zéro un deux trois quatre cinq six", "0 1 2 3 4 5 6"),
+        ("sept-huit-neuf-un-deux-un", "7-8-9-1-2-1"),
+        ("seis uno dos tres cuatro cinco", "6 1 2 3 4 5"),
+    ],
+)
+def test_dots_and_digits_in_words(text, plain):
+    assert Plain(text).text == plain
