@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators.copies import NUMBER, TEXT, diff_copies, diff_counts
-from skein.operators.near import finite, neighbour_counts, pairs_within
-from skein.operators.regions import points_in_regions
+from skein.operators.near import finite, neighbour_counts
+from skein.operators.regions import pairs_by_regions, points_in_regions
 
 SCORES = {
     "mean_completeness": NUMBER,
@@ -74,13 +74,13 @@ def _p1_sql() -> str:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pairs_within(table(spark, sf_dir, "stars"), "row_index", ["x_pc", "y_pc", "z_pc"], PAIR_DISTANCE_PC, group="realisation")
+    pairs = pairs_by_regions(table(spark, sf_dir, "stars"), "row_index", ["x_pc", "y_pc", "z_pc"], PAIR_DISTANCE_PC, "realisation")
     return pairs.select(F.col("id_a").alias("row_index_a"), F.col("id_b").alias("row_index_b"))
 
 
 def p2_neighbour_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many stars have how many neighbours (those with any)."""
-    pairs = pairs_within(table(spark, sf_dir, "stars"), "row_index", ["x_pc", "y_pc", "z_pc"], PAIR_DISTANCE_PC, group="realisation")
+    pairs = pairs_by_regions(table(spark, sf_dir, "stars"), "row_index", ["x_pc", "y_pc", "z_pc"], PAIR_DISTANCE_PC, "realisation")
     return neighbour_counts(pairs).groupBy("n_neighbours").agg(F.count("*").alias("n_stars"))
 
 
@@ -113,8 +113,7 @@ def p2_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     corners = [("w", "s0-w"), ("s0-s", "s"), ("d1+s", "s"), ("e", "e-d1"), ("e", "s1-e"), ("s1-n", "n"), ("d0+n", "n"), ("w", "w-d0")]
     ring = F.array(*(F.struct(F.lit(i).alias("seq"), F.expr(x).alias("x"), F.expr(y).alias("y")) for i, (x, y) in enumerate(corners)))
-    vertices = hull.select("group_key", "region", F.inline(ring))
-    found = points_in_regions(stars.drop("region"), vertices, strip=40 * GRID)
+    found = points_in_regions(stars.drop("region"), hull.select("group_key", "region", F.inline(ring)), strip=40 * GRID)
     return found.groupBy(F.col("group_key").alias("realisation"), "region").agg(F.count("*").alias("n_inside"), F.count_if("on_boundary").alias("n_boundary"))
 
 

@@ -2,7 +2,7 @@ import math
 import random
 
 from skein.operators.near import neighbour_counts, pairs_between, pairs_within
-from skein.operators.regions import points_in_regions
+from skein.operators.regions import pairs_by_regions, points_in_regions
 
 SCHEMA = "g long, id long, x double, y double, z double, id_a string, c0 int"
 
@@ -82,3 +82,39 @@ def test_regions_with_boundaries(spark):
     want = {(r, i, inside(ring, x, y)) for _, i, x, y in points for r, ring in rings.items() if inside(ring, x, y)}
     assert got == want
     assert points_in_regions(frame, vertices.limit(0), 1.5).count() == 0
+
+
+def region_pairs(spark, points, radius, **options):
+    pairs = pairs_by_regions(spark.createDataFrame(points, SCHEMA), "id", ["x", "y", "z"], radius, "g", **options).collect()
+    assert len(pairs) == len({(r.id_a, r.id_b) for r in pairs})
+    return {(r.id_a, r.id_b) for r in pairs}
+
+
+def test_pairs_by_regions_equal_brute_force(spark):
+    points = cloud(400, 5, 2.5)
+    assert region_pairs(spark, points + points[:40], 0.7) == brute(points, 0.7)
+
+
+def test_crowded_bins_are_divided_exactly(spark):
+    # some parts stay crowded, as their points coincide
+    points = cloud(250, 6, 0.5) + [(0, 1000 + i, 0.1, -0.2, 0.3, "", 1) for i in range(40)]
+    assert region_pairs(spark, points, 0.3, crowded=10) == brute(points, 0.3)
+
+
+def test_pairs_by_regions_on_bin_borders_and_dirty_rows(spark):
+    points = [(0, i + 10, 4.0 * i, -4.0 * i, 8.0, "", 1) for i in range(-5, 6)] + [(0, 100 + i, 4.0 * i - 0.5, -4.0 * i, 8.0, "", 1) for i in range(-5, 6)]
+    points += [(0, 200 + i, 4.0 * i, -4.0 * i + 0.5, 8.0, "", 1) for i in range(-5, 6)] + [(0, 300 + i, 4.0 * i, -4.0 * i, 7.5, "", 1) for i in range(-5, 6)]
+    assert region_pairs(spark, points, 0.5) == brute(points, 0.5)
+    bad = [(None, 9001, 0.0, 0.0, 0.0, "", 1), (0, None, 0.0, 0.0, 0.0, "", 1), (0, 9002, math.nan, 0.0, 0.0, "", 1), (0, 9003, math.inf, 0.0, 0.0, "", 1), (0, 9004, None, 0.0, 0.0, "", 1)]
+    good = [(0, 1, 1e300, -1e300, 0.0, "", 1), (0, 2, 0.0, 0.0, 0.0, "", 1), (0, 3, 0.5, 0.0, 0.0, "", 1), (1, 4, 0.0, 0.0, 0.0, "", 1)]
+    assert region_pairs(spark, bad + good + good, 0.5) == {(2, 3)}
+    assert region_pairs(spark, [], 0.5) == set()
+
+
+def test_regions_of_all_sizes(spark):
+    rings = {f"r{k}": [(0.0, 0.0), (2.0**k, 0.0), (2.0**k, 2.0**k), (2.0 ** (k - 1), 2.0 ** (k - 2)), (0.0, 2.0**k)] for k in range(-3, 7)}
+    vertices = spark.createDataFrame([(0, r, i, x - 3, y - 3) for r, ring in rings.items() for i, (x, y) in enumerate(ring)], "group_key long, region string, seq int, x double, y double")
+    rnd = random.Random(8)
+    points = [(0, i, rnd.uniform(-4, 64), rnd.uniform(-4, 64)) for i in range(300)] + [(0, 1000 + i, rnd.uniform(-3, -2), rnd.uniform(-3, -2)) for i in range(100)]
+    got = {(r.region, r.id) for r in points_in_regions(spark.createDataFrame(points, "group_key long, id long, x double, y double"), vertices, 1.0, crowded=20).collect()}
+    assert got == {(r, i) for _, i, x, y in points for r, ring in rings.items() if inside([(a - 3, b - 3) for a, b in ring], x, y)}
