@@ -129,7 +129,8 @@ def count_crossings(
     pts = pts.withColumns({"row": F.floor(F.col("y") / tall), "column": F.floor(F.col("x") / wide)})
     span = lambda low, high, size: F.sequence(F.floor(box[low] / size), F.floor(box[high] / size))
     binned = outlines.withColumn("row", F.explode(span("low_y", "high_y", tall))).withColumn("column", F.explode(span("low_x", "high_x", wide)))
-    keys = [*by, "level_y", "level_x", "row", "column"]
+    # a level that all have is no key: a constant would cost the aggregations the partitioning
+    keys = [*by, *(("level_y", "level_x") if len(levels) > 1 else ()), "row", "column"]
     hot = pts.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > crowded)
     if hot.take(1):
         pts, binned = _divided(pts, binned, box, hot.select(*keys), keys, tall, wide, crowded)
