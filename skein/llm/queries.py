@@ -96,8 +96,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stars = table(spark, sf_dir, "stars")
-    found = isolated_clusters(stars, _members(spark, sf_dir), "row_index", "realisation", _AT, "reddening_mag", inner=INNER, outer=OUTER, min_size=LEAST)
+    found = isolated_clusters(_members(spark, sf_dir), inner=INNER, outer=OUTER, min_size=LEAST)
     return found.select(F.col("id").alias("row_index"), "cluster_id")
 
 
