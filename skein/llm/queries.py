@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.ids import integer_id, strip_blanks
-from skein.llm.clusters import describe_clusters, isolated_clusters, markov_clusters
+from skein.llm.clusters import clean_records, describe_clusters, isolated_clusters, markov_clusters
 from skein.llm.components import group_links
 from skein.llm.mixing import mix_sources
 from skein.llm.packing import pack, packing_report
@@ -91,18 +91,18 @@ _AT = ["x_pc", "y_pc", "z_pc"]
 INNER, OUTER, LEAST = (4.0, 0.25), (8.0, 0.6), 10
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markov_clusters(table(spark, sf_dir, "stars"), "row_index", "realisation", _AT, "reddening_mag")
+_STAR = ("row_index", "realisation", _AT, "reddening_mag")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = isolated_clusters(_members(spark, sf_dir), inner=INNER, outer=OUTER, min_size=LEAST)
+    stars = table(spark, sf_dir, "stars")
+    found = isolated_clusters(markov_clusters(stars, *_STAR, sparse=False), clean_records(stars, *_STAR), inner=INNER, outer=OUTER, min_size=LEAST)
     return found.select(F.col("id").alias("row_index"), "cluster_id")
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, centre and three most typical stars of every Markov cluster."""
-    return describe_clusters(_members(spark, sf_dir)).withColumnRenamed("group_key", "realisation")
+    return describe_clusters(markov_clusters(table(spark, sf_dir, "stars"), *_STAR)).withColumnRenamed("group_key", "realisation")
 
 
 def _p5_sql() -> str:
