@@ -9,9 +9,9 @@ from skein.functions.ids import integer_id, strip_blanks
 from skein.llm.clusters import clean_records, describe_clusters, isolated_clusters, markov_clusters
 from skein.llm.components import group_links
 from skein.llm.mixing import mix_sources
-from skein.llm.packing import pack, packing_report
+from skein.llm.packing import pack, pack_with_program, packing_check, packing_report
 from skein.llm.pii import find_personal_information, redact_personal_information
-from skein.llm.quantiles import RANK_ERROR, merge_sketches, rank_errors, sketch_quantiles, sketch_values
+from skein.llm.quantiles import RANK_ERROR, merge_sketches, rank_bounds, sketch_quantiles, sketch_values
 from skein.llm.tokens import token_sizes
 
 FRACTIONS = {"p01": 0.01, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99, "p999": 0.999}
@@ -69,20 +69,23 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each percentile's true rank is within the stated error, over all values."""
+    """The exact values at both ends of the stated rank error, and whether each percentile lies between them."""
     fractions = list(FRACTIONS.values())
-    ranks = rank_errors(_reddening(spark, sf_dir), ["true_label"], "reddening_mag", _label_quantiles(spark, sf_dir), fractions)
-    one = ranks.select("true_label", "n", F.inline("ranks"))
-    wanted = F.col("fraction") * F.col("n")
-    allowed = RANK_ERROR * (F.col("n") - wanted) + 1
-    inside = (F.col("below") <= wanted + allowed) & (F.col("upto") >= wanted - allowed)
-    return one.select("true_label", "n", "fraction", inside.alias("within_error"))
+    bounds = rank_bounds(_reddening(spark, sf_dir), ["true_label"], "reddening_mag", fractions)
+    each = F.array(*(F.struct(F.lit(q).alias("q"), F.col("quantiles")[i].alias("estimate")) for i, q in enumerate(fractions)))
+    found = _label_quantiles(spark, sf_dir).select(F.col("true_label").alias("label"), F.inline(each))
+    both = bounds.join(found, bounds["true_label"].eqNullSafe(found["label"]) & (F.col("q") == F.col("fraction")))
+    return both.select("true_label", "n", "fraction", "low_value", "high_value", F.col("estimate").between(F.col("low_value"), F.col("high_value")).alias("within_error"))
 
 
+# the ranks are counted here from the values; that the estimates lie between is what the query must show
 _P4_CHECK_SQL = f"""WITH v AS (
-      SELECT row_index, lower(regexp_replace(true_label, '^\\s+|\\s+$', '', 'g')) AS true_label, any_value(reddening_mag) AS m FROM stars GROUP BY ALL)
-    SELECT true_label, count(*) AS n, fraction, true AS within_error
-    FROM (SELECT DISTINCT row_index, true_label, m FROM v WHERE isfinite(m)), (VALUES {", ".join(f"({q}::DOUBLE)" for q in FRACTIONS.values())}) f(fraction) GROUP BY true_label, fraction"""
+      SELECT DISTINCT row_index, lower(regexp_replace(true_label, '^\\s+|\\s+$', '', 'g')) AS true_label, reddening_mag AS m FROM stars WHERE isfinite(reddening_mag)),
+    k AS (SELECT true_label, m, row_number() OVER (PARTITION BY true_label ORDER BY m) AS r, count(*) OVER (PARTITION BY true_label) AS n FROM v),
+    f AS (SELECT fraction, {RANK_ERROR}::DOUBLE * least(fraction, 1 - fraction) AS e FROM (VALUES {", ".join(f"({q}::DOUBLE)" for q in FRACTIONS.values())}) f(fraction))
+    SELECT true_label, n, fraction, min(m) FILTER (r >= greatest(floor(fraction * n - (e * n + 1)), 1)) AS low_value,
+      min(m) FILTER (r >= least(ceil(fraction * n + (e * n + 1)), n)) AS high_value, true AS within_error
+    FROM k, f GROUP BY true_label, n, fraction"""
 
 
 # --- 5: clusters of similar stars
@@ -134,7 +137,18 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_report(p6_packing(spark, sf_dir))
+    """Containers of every capacity, the program's value and bound, and how far from it they are."""
+    sizes = token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing_report(*pack_with_program(sizes, "doc_id", "n_tokens", table(spark, sf_dir, "pack_capacities")))
+
+
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed per kind of container, and rules broken."""
+    return packing_check(p6_packing(spark, sf_dir))
+
+
+_P6_CHECK_SQL = """SELECT container_kind, (SELECT count(DISTINCT doc_id) FROM documents) AS n_items, 0::BIGINT AS overfull, 0::BIGINT AS divided, 0::BIGINT AS broken
+    FROM (SELECT DISTINCT container_kind FROM pack_capacities WHERE container_kind IS NOT NULL AND capacity_tokens >= 1)"""
 
 
 # --- 7: sources mixed to their target shares
@@ -178,6 +192,7 @@ QUERIES = {
     "p5_clusters": p5_clusters,
     "p6_packing": p6_packing,
     "p6_report": p6_report,
+    "p6_check": p6_check,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
     "p8_found": p8_found,
@@ -189,4 +204,5 @@ SQL = {
     "p3_group_sizes": f"SELECT size, count(*) AS n_groups FROM (SELECT group_id, count(*) AS size FROM ({_P3_SQL}) GROUP BY group_id) GROUP BY size",
     "p4_rank_check": _P4_CHECK_SQL,
     "p5_found": _p5_sql(),
+    "p6_check": _P6_CHECK_SQL,
 }

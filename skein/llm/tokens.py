@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +29,16 @@ def encoding(vocabulary: str):
 
 
 def token_sizes(documents: DataFrame, ident: str, text: str, carry: tuple[str, ...] = (), vocabulary: str = VOCABULARY) -> DataFrame:
-    """``ident``, the columns in ``carry`` and ``n_tokens`` of the whole text; null and empty texts have 0."""
+    """``ident``, the columns in ``carry`` and ``n_tokens`` of the whole text; null and empty texts have 0.
+
+    The file of ``vocabulary`` goes to the executors with the job.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     @F.pandas_udf(T.LongType())
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         for batch in texts:
             yield pd.Series([len(encode(t)) if t else 0 for t in batch], dtype="int64")
 

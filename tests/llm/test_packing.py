@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from skein.llm.packing import best_filling, configurations, pack, packing_report, unit_of
+from skein.llm.packing import GAP, best_fit, pack, pack_with_program, packing_check, packing_report, plan_containers, solve_program
 
 KINDS = [("small", 100), ("odd", 1500), ("none", None), ("zero", 0)]
 
@@ -48,22 +48,60 @@ def test_empty(spark):
     assert packed(spark, []).count() == 0
 
 
-def test_filling_is_a_bounded_knapsack():
-    rnd = random.Random(2)
+def best_fit_one_by_one(lengths, capacity):
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fit = [k for k, room in enumerate(rooms) if room >= n]
+        if fit:
+            rooms[min(fit, key=lambda k: rooms[k])] -= n
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+def test_best_fit_equals_one_item_at_a_time():
+    rng = np.random.default_rng(2)
     for _ in range(20):
-        sizes = np.array(sorted(rnd.sample(range(1, 40), 6)))
-        limits = np.array([rnd.randrange(1, 4) for _ in sizes])
-        filling = best_filling(sizes, sizes.astype(float), limits, 60)
-        assert (filling <= limits).all() and (filling * sizes).sum() <= 60
-    assert (best_filling(np.array([7, 10]), np.array([7.0, 10.0]), np.array([9, 9]), 24) == [2, 1]).all()
+        lengths = rng.integers(1, 60, 150)
+        sizes, counts = np.unique(lengths, return_counts=True)
+        fillings = best_fit(sizes, counts, 60)
+        assert sum(c for c, _ in fillings) == best_fit_one_by_one(lengths, 60)
+        assert all(sum(sizes[i] * n for i, n in f.items()) <= 60 for _, f in fillings)
+
 
+def test_program_value_is_near_its_bound():
+    # three thirds, or a half with two quarters: the bound is exact
+    used, value, bound, prices = solve_program(np.array([15, 20, 30]), np.array([200, 300, 100]), 60)
+    assert abs(bound - 200) < 1 and bound <= value + 1e-9 <= bound * (1 + 3 * GAP)
+    assert all(sum(prices[i] * n for i, n in f) <= 1 + 1e-9 for f in used)
 
-def test_configurations_use_every_size_exactly():
+
+def test_plans_use_every_rank_once_and_no_more_containers_than_best_fit():
     rng = np.random.default_rng(3)
-    sizes = np.arange(1, 300)
-    counts = rng.integers(1, 200, len(sizes))
-    total = np.zeros(len(sizes), dtype=np.int64)
-    for copies, filling in configurations(sizes, counts, 512):
-        assert (filling * sizes).sum() <= 512 // unit_of(512)
-        total += copies * filling
-    assert (total == counts).all()
+    for capacity, lengths in ((512, rng.integers(1, 512, 3000)), (2048, rng.integers(1, 2000, 2000)), (5000, rng.integers(300, 2600, 1500))):
+        sizes, counts = np.unique(lengths, return_counts=True)
+        rows, value, bound = plan_containers(sizes, counts, capacity)
+        ranks, held = {}, {}
+        unit = -(-capacity // 1024)
+        by_class = {}
+        for n in sorted(lengths):
+            by_class.setdefault(min(-(-int(n) // unit), capacity // unit), []).append(int(n))
+        for units, slots, first, end, container in rows:
+            for r in range(first, end):
+                ranks.setdefault(units, []).append(r)
+                at = container + (r - first) // slots
+                held[at] = held.get(at, 0) + by_class[units][r]
+        assert {u: sorted(r) for u, r in ranks.items()} == {u: list(range(len(x))) for u, x in by_class.items()}
+        assert max(held.values()) <= capacity and sorted(held) == list(range(len(held)))
+        assert len(held) <= best_fit_one_by_one(lengths, capacity)
+        assert bound <= value * (1 + 1e-9)
+
+
+def test_the_report_has_the_program(spark):
+    rnd = random.Random(5)
+    items = spark.createDataFrame([(i, rnd.randrange(1, 260)) for i in range(400)], "i long, n long")
+    rows, program = pack_with_program(items, "i", "n", spark.createDataFrame(KINDS, "container_kind string, capacity_tokens int"))
+    for r in packing_report(rows, program).collect():
+        assert r.least_containers <= r.n_containers and r.program_bound <= r.program_value * (1 + 1e-9)
+        assert abs(r.gap - (r.n_containers / r.program_bound - 1)) < 1e-9 and r.gap < 0.1
+    assert sorted(tuple(r) for r in packing_check(rows).collect()) == [("odd", 400, 0, 0, 0), ("small", 400, 0, 0, 0)]

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from skein.llm.quantiles import RANK_ERROR, RelativeRankSketch, merge_sketches, sketch_quantiles, sketch_values
+from skein.llm.quantiles import RANK_ERROR, BothEnds, RelativeRankSketch, merge_sketches, rank_bounds, sketch_quantiles, sketch_values
 
 FRACTIONS = [0.01, 0.1, 0.5, 0.9, 0.99, 0.999]
 
@@ -50,3 +50,44 @@ def test_days_combine(spark):
         within(mine, FRACTIONS, row.quantiles, RANK_ERROR)
     none = spark.createDataFrame([], "label string, day long, v double")
     assert sketch_values(none, ["label"], "v").count() == 0
+
+
+@pytest.mark.parametrize("order", ["random", "sorted", "reversed"])
+def test_both_tails_are_relative_to_their_own_end(order):
+    rng = np.random.default_rng(4)
+    values = rng.lognormal(0, 2, 400_000)
+    values = {"random": values, "sorted": np.sort(values), "reversed": np.sort(values)[::-1]}[order]
+    merged = BothEnds()
+    for k, part in enumerate(np.array_split(values, 100)):
+        merged.merge(BothEnds.from_bytes(BothEnds(seed=k).add(part).to_bytes()))
+    fractions = [0.001, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999]
+    ordered = np.sort(values)
+    for q, x in zip(fractions, merged.quantiles(fractions)):
+        below, upto = np.searchsorted(ordered, x, "left"), np.searchsorted(ordered, x, "right")
+        allowed = RANK_ERROR * min(q, 1 - q) * len(values) + 1
+        assert below <= q * len(values) + allowed and upto >= q * len(values) - allowed, (q, x)
+
+
+def test_coins_differ_between_sketches_and_come_in_pairs():
+    def coins(seed):
+        sketch, seen = RelativeRankSketch(seed=seed), []
+        for part in np.array_split(np.arange(60_000.0), 120):
+            before = sketch.levels[0][1] if sketch.levels else 0
+            sketch.add(part)
+            if sketch.levels[0][1] > before:
+                seen.append(sketch.levels[0][4])
+        return seen
+
+    first, second = coins(1), coins(2)
+    assert first != second and coins(1) == first
+    assert all(a != b for a, b in zip(first[::2], first[1::2]))
+
+
+def test_bounds_are_exact_ranks(spark):
+    values = [float(v) for v in np.random.default_rng(5).integers(0, 50, 700)]
+    frame = spark.createDataFrame([(None, v) for v in values] + [("x", math.nan)], "label string, v double")
+    ordered = sorted(values)
+    for r in rank_bounds(frame, ["label"], "v", [0.01, 0.5, 0.9]).collect():
+        allowed = RANK_ERROR * min(r.fraction, 1 - r.fraction) * 700 + 1
+        low, high = max(1, math.floor(r.fraction * 700 - allowed)), min(700, math.ceil(r.fraction * 700 + allowed))
+        assert (r.n, r.low_value, r.high_value) == (700, ordered[low - 1], ordered[high - 1])
