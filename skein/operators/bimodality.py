@@ -18,7 +18,7 @@ from skein.operators.near import finite
 from skein.scratch import Scratch
 
 TASK_VALUES = 300_000
-#: A null sample of more rows is drawn as counts of so many cells of 8.5 deviations on either side.
+#: A null sample is drawn as counts of so many cells of 8.5 deviations on either side, whatever its size.
 BINS, REACH = 8_000, 8.5
 # Starts (in standard deviations from the mean), floors and steps of the fit.
 SHIFTS, STEPS = (0.35, 0.55, 0.75, 1.0, 1.3), 120
@@ -98,18 +98,17 @@ def _two_normals_large(counts: DataFrame, spans: dict[int, tuple[float, float, f
     return best
 
 
+_EDGES = np.linspace(-REACH, REACH, BINS + 1)
+_CENTRES = (_EDGES[:-1] + _EDGES[1:]) / 2
+_CELLS = np.diff([0.5 * math.erfc(-e / math.sqrt(2)) for e in _EDGES])
+_CELLS = _CELLS / _CELLS.sum()
+
+
 def null_ratio(n: int, middle: float, sd: float, seed: list[int]) -> float:
     """The likelihood ratio of ``n`` rows drawn from one normal."""
-    rng = np.random.default_rng(seed)
-    if n <= BINS:
-        x, counts = rng.normal(middle, sd, n), np.ones(n)
-    else:
-        edges = np.linspace(-REACH, REACH, BINS + 1)
-        below = np.array([0.5 * math.erfc(-e / math.sqrt(2)) for e in edges])
-        share = np.diff(below)
-        counts = rng.multinomial(n, share / share.sum()).astype(float)
-        held = counts > 0
-        x, counts = middle + sd * ((edges[:-1] + edges[1:]) / 2)[held], counts[held]
+    counts = np.random.default_rng(seed).multinomial(n, _CELLS).astype(float)
+    held = counts > 0
+    x, counts = middle + sd * _CENTRES[held], counts[held]
     return max(0.0, 2 * (two_normals(x, counts, QUICK_SHIFTS, QUICK_STEPS)[0] - one_normal(x, counts)))
 
 

@@ -102,13 +102,13 @@ def diff_counts(diffs: DataFrame) -> DataFrame:
 
 
 def max_abs_difference(left: DataFrame, right: DataFrame, keys: list[str], metrics: list[str], tolerance: float = 1e-12) -> DataFrame:
-    """Archive comparison: per metric, whether all joined values agree and the largest gap.
+    """Archive comparison: per metric, whether all joined values agree and the largest gap.  Null key parts equal each other.
 
     Missing values (null, NaN) on both sides agree; on one side they don't.
     """
-    a = left.select(*keys, *(F.col(m).cast("double").alias(f"{m}__a") for m in metrics))
-    b = right.select(*keys, *(F.col(m).cast("double").alias(f"{m}__b") for m in metrics))
-    joined = a.join(b, keys, "inner")
+    a = left.select(*(F.col(k).alias(f"a{i}__") for i, k in enumerate(keys)), *(F.col(m).cast("double").alias(f"{m}__a") for m in metrics))
+    b = right.select(*(F.col(k).alias(f"b{i}__") for i, k in enumerate(keys)), *(F.col(m).cast("double").alias(f"{m}__b") for m in metrics))
+    joined = a.join(b, reduce(lambda p, q: p & q, (F.col(f"a{i}__").eqNullSafe(F.col(f"b{i}__")) for i in range(len(keys)))), "inner")
 
     def per(m: str) -> list[Column]:
         x, y = (F.when(~F.isnan(f"{m}__{s}"), F.col(f"{m}__{s}")) for s in "ab")

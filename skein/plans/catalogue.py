@@ -13,6 +13,7 @@ from skein.operators.breaks import jenks_two_class, two_line_cdf
 from skein.operators.copies import max_abs_difference
 from skein.operators.mixture import Gate
 from skein.operators.near import finite
+from skein.operators.running import rank_quantile, running
 from skein.operators.score import best_match, better_equal_worse, field_summary, fragments_and_merges, resolution_flags, retention_agreement
 from skein.plans import montecarlo
 from skein.plans.refine import numbered_leaves, pipeline, seed_nodes
@@ -91,16 +92,16 @@ _ROTATION_SQL = (
 
 
 def kinematics_match(spark, sf_dir):
-    """Stars per survey that have a velocity under their canonical id in the largest realisation."""
+    """Stars per survey that have a velocity under their canonical id in any realisation."""
     s = stars(spark, sf_dir)
-    known = s.where((F.col("realisation") == 0) & finite(F.col("vl_lsr_kms")) & (canonical_id(F.col("source_id")) != ""))
+    known = s.where(finite(F.col("vl_lsr_kms")) & (canonical_id(F.col("source_id")) != ""))
     known = known.groupBy(canonical_id(F.col("source_id")).alias("source_id")).agg(F.max("vl_lsr_kms").alias("vl_lsr_kms"))
     joined = join_kinematics(s.select("row_index", "source_id", "survey"), known, ["vl_lsr_kms"])
     return joined.groupBy("survey").agg(F.count("*").alias("n"), F.count_if("matched").alias("n_matched"), r(F.avg("vl_lsr_kms")).alias("mean_vl"))
 
 
 _KINEMATICS_SQL = f"""WITH {_S}, c AS (SELECT *, {_CANONICAL} AS sid FROM s),
-  k AS (SELECT sid, max(vl_lsr_kms) AS v FROM c WHERE realisation = 0 AND isfinite(vl_lsr_kms) AND sid <> '' GROUP BY sid)
+  k AS (SELECT sid, max(vl_lsr_kms) AS v FROM c WHERE isfinite(vl_lsr_kms) AND sid <> '' GROUP BY sid)
   SELECT survey, count(*) AS n, count(k.sid) AS n_matched, round(avg(v), 6) AS mean_vl FROM c LEFT JOIN k USING (sid) GROUP BY survey"""
 
 
@@ -204,10 +205,12 @@ def group_boxes(spark, sf_dir):
     """Size, observables and bounding box of each group."""
     s = stars(spark, sf_dir).select(F.col("realisation").alias("g"), F.col("row_index").alias("id"), *AT, *(F.when(finite(F.col(c)), F.col(c)).alias(c) for c in ("reddening_mag", "vl_lsr_kms")))
     joined = _groups(spark, sf_dir).select("g", "id", "group_id").join(s, ["g", "id"])
-    return joined.groupBy("g", "group_id").agg(
-        F.count("*").alias("n_members"), r(F.median("reddening_mag"), 11).alias("median_reddening"), r(F.avg("reddening_mag"), 11).alias("mean_reddening"), r(F.avg("vl_lsr_kms"), 11).alias("mean_vl"),
+    middle = running(joined.where("reddening_mag is not null"), ["g", "group_id"], ["reddening_mag", "id"], None, "boxes").groupBy("g", "group_id").agg(r(rank_quantile(0.5, "reddening_mag"), 11).alias("median_reddening"))
+    boxes = joined.groupBy("g", "group_id").agg(
+        F.count("*").alias("n_members"), r(F.avg("reddening_mag"), 11).alias("mean_reddening"), r(F.avg("vl_lsr_kms"), 11).alias("mean_vl"),
         *(f(c).alias(f"{n}_{c}") for c in AT for n, f in (("min", F.min), ("max", F.max))),
     )
+    return boxes.join(middle, ["g", "group_id"], "left")
 
 
 _BOXES_SQL = f"""{_GROUPS} SELECT m.g, group_id, count(*) AS n_members, round(median(reddening_mag) FILTER (isfinite(reddening_mag)), 11) AS median_reddening,
@@ -238,8 +241,8 @@ def jenks_by_label(spark, sf_dir):
 _FINITE = f"{_S}, f AS (SELECT label, row_index, reddening_mag - avg(reddening_mag) OVER (PARTITION BY label) AS d, reddening_mag AS x FROM s WHERE isfinite(reddening_mag))"
 _JENKS_SQL = f"""WITH {_FINITE}, o AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n, sum(d) OVER w AS s1, sum(d*d) OVER w AS q1, sum(d) OVER (PARTITION BY label) AS st, sum(d*d) OVER (PARTITION BY label) AS qt, lead(x) OVER w AS nx
     FROM f WINDOW w AS (PARTITION BY label ORDER BY d, row_index)),
-  e AS (SELECT *, round(greatest(q1 - s1*s1/k, 0) + greatest(qt - q1 - (st-s1)*(st-s1)/nullif(n-k, 0), 0), 9) AS sse FROM o),
-  b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sse, k) AS nth FROM e WHERE k < n)
+  e AS (SELECT *, greatest(q1 - s1*s1/k, 0) + greatest(qt - q1 - (st-s1)*(st-s1)/nullif(n-k, 0), 0) AS sse FROM o),
+  b AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(sse / nullif(qt, 0), 12), k) AS nth FROM e WHERE k < n)
   SELECT label, n, round((x + nx) / 2, 6) AS cut, k AS n_low, round(1 - sse / greatest(qt - st*st/n, 0), 6) AS gvf FROM b WHERE nth = 1"""
 
 
@@ -250,7 +253,7 @@ def two_line_by_label(spark, sf_dir):
 
 def _line_sql(n: str, x: str, y: str, xx: str, xy: str, yy: str) -> tuple[str, str, str]:
     den = f"({n}*{xx}-{x}*{x})"
-    slope = f"(CASE WHEN abs({den}) <= 1e-20 THEN 0 ELSE ({n}*{xy}-{x}*{y})/{den} END)"
+    slope = f"(CASE WHEN abs({den}) <= 1e-14 * {n} * {xx} THEN 0 ELSE ({n}*{xy}-{x}*{y})/{den} END)"
     cut = f"(({y}-{slope}*{x})/{n})"
     return slope, cut, f"greatest({yy}+{slope}*{slope}*{xx}+{n}*{cut}*{cut}-2*{slope}*{xy}-2*{cut}*{y}+2*{slope}*{cut}*{x}, 0)"
 
@@ -261,9 +264,9 @@ _ONE = _line_sql("n", "tx", "ty", "txx", "txy", "tyy")
 _TWO_LINE_SQL = f"""WITH {_FINITE}, q AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n, lead(x) OVER w AS nx FROM f WINDOW w AS (PARTITION BY label ORDER BY d, row_index)),
   y AS (SELECT *, k / n AS y FROM q),
   o AS (SELECT *, {", ".join(f"sum({e}) OVER w AS s{a}, sum({e}) OVER (PARTITION BY label) AS t{a}" for a, e in (("x", "d"), ("y", "y"), ("xx", "d*d"), ("xy", "d*y"), ("yy", "y*y")))} FROM y WINDOW w AS (PARTITION BY label ORDER BY k ROWS UNBOUNDED PRECEDING)),
-  e AS (SELECT *, round({_LOW[2]} + {_HIGH[2]}, 12) AS sse, {_ONE[2]} AS one, {_LOW[0]} AS b1, {_LOW[1]} AS a1, {_HIGH[0]} AS b2, {_HIGH[1]} AS a2,
+  e AS (SELECT *, {_LOW[2]} + {_HIGH[2]} AS sse, {_ONE[2]} AS one, {_LOW[0]} AS b1, {_LOW[1]} AS a1, {_HIGH[0]} AS b2, {_HIGH[1]} AS a2,
        CASE WHEN n < 40 THEN greatest(2, n // 4) ELSE 20 END AS seg, min(x) OVER (PARTITION BY label) AS lo, max(x) OVER (PARTITION BY label) AS hi FROM o WHERE k < n),
-  b AS (SELECT *, x - d + (a2 - a1) / nullif(b1 - b2, 0) AS meet, row_number() OVER (PARTITION BY label ORDER BY sse, k) AS nth FROM e WHERE k >= seg AND n - k >= seg)
+  b AS (SELECT *, x - d + (a2 - a1) / nullif(b1 - b2, 0) AS meet, row_number() OVER (PARTITION BY label ORDER BY round(sse / tyy, 12), k) AS nth FROM e WHERE k >= seg AND n - k >= seg)
   SELECT label, n, round(CASE WHEN meet BETWEEN lo AND hi THEN meet ELSE (x + nx) / 2 END, 6) AS threshold, k AS n_low, round(1 - sse / one, 6) AS improvement FROM b WHERE nth = 1"""
 
 
@@ -320,16 +323,17 @@ def _noise_sql() -> str:
 
 
 def runs(spark, sf_dir, name="s3_runs"):
-    """The latest row of each realisation and noise level (in thousandths)."""
+    """The latest row of each realisation and noise level (in thousandths); a missing level is one of its own."""
     sigma = F.col("velocity_error_sigma_kms")
-    raw = table(spark, sf_dir, name).where("realisation is not null").where(finite(sigma)).withColumn("sigma_milli", F.round(sigma * 1000).cast("long"))
+    raw = table(spark, sf_dir, name).where("realisation is not null").withColumn("sigma_milli", F.when(finite(sigma), F.round(sigma * 1000).cast("long")))
     columns = ["condition", "mean_completeness", "mean_purity", "mean_jaccard", "strict_recoveries_of_8", "s3_accepted_splits", "s3_orphans", "formal_overlap_resolved"]
     best = raw.groupBy("realisation", "sigma_milli").agg(F.max(F.struct("loaded_at", *columns)).alias("b"))
     return best.select("realisation", "sigma_milli", *(F.col(f"b.{c}").alias(c) for c in columns))
 
 
-_RUNS = """q AS (SELECT realisation, CAST(round(velocity_error_sigma_kms * 1000) AS BIGINT) AS sigma_milli, condition, {n}, CAST(strict_recoveries_of_8 AS DOUBLE) AS strict, CAST(s3_accepted_splits AS DOUBLE) AS splits, s3_orphans, formal_overlap_resolved AS formal
-  FROM (SELECT *, row_number() OVER (PARTITION BY realisation, round(velocity_error_sigma_kms * 1000) ORDER BY loaded_at DESC) AS nth FROM s3_runs WHERE realisation IS NOT NULL AND isfinite(velocity_error_sigma_kms)) WHERE nth = 1)""".format(
+_RUNS = """q AS (SELECT realisation, sigma_milli, condition, {n}, CAST(strict_recoveries_of_8 AS DOUBLE) AS strict, CAST(s3_accepted_splits AS DOUBLE) AS splits, s3_orphans, formal_overlap_resolved AS formal
+  FROM (SELECT *, row_number() OVER (PARTITION BY realisation, sigma_milli ORDER BY loaded_at DESC) AS nth
+    FROM (SELECT *, CASE WHEN isfinite(velocity_error_sigma_kms) THEN CAST(round(velocity_error_sigma_kms * 1000) AS BIGINT) END AS sigma_milli FROM s3_runs WHERE realisation IS NOT NULL)) WHERE nth = 1)""".format(
     n=", ".join(f"CASE WHEN NOT isnan(mean_{c}) THEN mean_{c} END AS {c}" for c in ("completeness", "purity", "jaccard"))
 )
 METRICS = ["mean_completeness", "mean_purity", "mean_jaccard"]
@@ -394,7 +398,7 @@ def archive_gaps(spark, sf_dir):
     return gaps.select("metric", "all_close", r("max_abs_difference").alias("max_abs_difference"))
 
 
-_ARCHIVE_SQL = f"""WITH {_RUNS}, {_RUNS.replace("q AS", "o AS").replace("FROM s3_runs ", "FROM s3_runs_archive ")}, j AS (SELECT q.completeness a1, o.completeness b1, q.purity a2, o.purity b2, q.jaccard a3, o.jaccard b3 FROM q JOIN o USING (realisation, sigma_milli))
+_ARCHIVE_SQL = f"""WITH {_RUNS}, {_RUNS.replace("q AS", "o AS").replace("FROM s3_runs ", "FROM s3_runs_archive ")}, j AS (SELECT q.completeness a1, o.completeness b1, q.purity a2, o.purity b2, q.jaccard a3, o.jaccard b3 FROM q JOIN o ON q.realisation = o.realisation AND q.sigma_milli IS NOT DISTINCT FROM o.sigma_milli)
 """ + "\nUNION ALL\n".join(
     f"SELECT '{m}' AS metric, bool_and(CASE WHEN a{i} IS NULL OR b{i} IS NULL THEN a{i} IS NULL AND b{i} IS NULL ELSE abs(a{i} - b{i}) <= 1e-12 END) AS all_close, round(max(abs(a{i} - b{i})), 6) AS max_abs_difference FROM j" for i, m in enumerate(METRICS, 1)
 )

@@ -2,6 +2,8 @@ import math
 import random
 import statistics
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,17 @@ def test_bootstrap_takes_the_reference_s_resamples(spark):
     frame = spark.createDataFrame([(1, i, float(i % 7)) for i in range(30)], "g long, i long, v double")
     usual, many = bootstrap_mean(frame, ["g"], "v", "i").first(), bootstrap_mean(frame, ["g"], "v", "i", resamples=20_000).first()
     assert (usual.low, usual.high) == pytest.approx((many.low, many.high), abs=1e-12)
+
+
+def test_breaks_do_not_depend_on_the_scale(spark):
+    from skein.operators.breaks import jenks_two_class, two_line_cdf
+
+    rng = np.random.default_rng(12)
+    values = np.concatenate([rng.normal(0, 1, 50), rng.normal(1, 1, 50)])
+    rows = [(name, i, float(v) * scale) for name, scale in (("one", 1.0), ("small", 1e-5), ("tiny", 1e-12), ("large", 1e7)) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "k string, i long, v double")
+    jenks = {r.k: r for r in jenks_two_class(frame, ["k"], "v", "i").collect()}
+    lines = {r.k: r for r in two_line_cdf(frame, ["k"], "v", "i").collect()}
+    for name, scale in (("small", 1e-5), ("tiny", 1e-12), ("large", 1e7)):
+        assert jenks[name].n_low == jenks["one"].n_low and abs(jenks[name].cut / scale - jenks["one"].cut) < 1e-9
+        assert lines[name].n_low == lines["one"].n_low and abs(lines[name].threshold / scale - lines["one"].threshold) < 1e-6
