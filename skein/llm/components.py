@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from skein.scratch import Scratch
 
 
-def _moved(table: DataFrame) -> int:
-    return table.where("moved").count()
-
-
 def _jump(parents: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pointer jumping until every node points at its root; each jump halves the depth."""
+    """Pointer jumping until every node points at its root; each written table holds two jumps, which quarter the depth."""
     while True:
-        up = parents.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
-        jumped = scratch.keep(
-            parents.select("id", "parent").join(up, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("moved")), "jump"
-        )
+        hop = lambda t, n: t.join(parents.select(F.col("id").alias("parent"), F.col("parent").alias(f"above{n}")), "parent", "left")
+        jumped = parents.select("id", "parent")
+        for n in range(3):
+            # a node without parent of its own is a root
+            jumped = hop(jumped, n).select("id", F.coalesce(f"above{n}", "parent").alias("parent"), F.col(f"above{n}").isNotNull().alias("moved"))
+        jumped = scratch.keep(jumped, "jump")
         scratch.drop(parents)
         parents = jumped
-        if not _moved(parents):
+        if not parents.where("moved").take(1):
             return parents.select("id", "parent")
 
 
@@ -44,8 +42,9 @@ def group_links(links: DataFrame, a: str, b: str, job: str = "links") -> DataFra
     """
     scratch = Scratch(links.sparkSession, job)
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    ends = scratch.keep(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     ids = ends.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    edges = scratch.keep(ends.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+    edges = ends.where("u <> v")
     rounds: list[DataFrame] = []
     while edges.take(1):
         # in a link u < v, so only the greater end can take a smaller label
@@ -55,7 +54,7 @@ def group_links(links: DataFrame, a: str, b: str, job: str = "links") -> DataFra
         p, q = (parents.select(F.col("id").alias(end), F.col("parent").alias(f"r{end}")) for end in "uv")
         moved = edges.join(q, "v").join(p, "u", "left").select(F.coalesce("ru", "u").alias("x"), F.col("rv").alias("y")).where("x <> y")
         relabelled = scratch.keep(moved.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), "edges")
-        scratch.drop(edges)
+        scratch.drop(edges)  # the links themselves stay: their ids are read at the end
         edges = relabelled
     if not rounds:
         return ids.select("id", F.col("id").alias("group_id"))
@@ -64,5 +63,5 @@ def group_links(links: DataFrame, a: str, b: str, job: str = "links") -> DataFra
         earlier = rounds.pop()
         top = roots.select(F.col("id").alias("parent"), F.col("parent").alias("above"))
         looked = earlier.join(top, "parent", "left").select("id", F.coalesce("above", "parent").alias("parent"))
-        roots = scratch.keep(looked.unionByName(roots), "roots")
+        roots = looked.unionByName(roots) if rounds else scratch.keep(looked.unionByName(roots), "roots")
     return ids.join(roots, "id", "left").select("id", F.coalesce("parent", "id").alias("group_id"))

@@ -39,6 +39,10 @@ _SIGNS = re.compile(rf"[@＠{_PLAIN}](?:(?<=[@＠])(?: (?=\S)|\n(?=\S))?|(?<=[{_
 _BROKEN = re.compile(r"[-‐‑－][\u200b\u00ad]?\n(?=[^\W\d_])")
 _WRITTEN = re.compile(r"[\[({<](?:(?:at|AT|At|arroba|ARROBA|arobase|AROBASE)|(?:dot|DOT|Dot|punkt|PUNKT|punto|PUNTO|point|POINT))[\])}>] ?")
 _WRITTEN_MARKS = tuple(f"{word}{close}" for word in ("at", "AT", "At", "arroba", "ARROBA", "arobase", "AROBASE", "dot", "DOT", "Dot", "punkt", "PUNKT", "punto", "PUNTO", "point", "POINT") for close in "])}>")
+# Ends of domain names; a bare at and dot is a disguise only before one of them.
+ENDINGS = "com org net edu gov info biz eu io de at ch fr be es it nl pl pt uk ie us ca mx br ar cn jp kr tw in au nz se no dk fi ru".split()
+_BARE = re.compile(rf"(?<=[A-Za-z0-9])( +at +)(?=(?:[A-Za-z0-9-]+(?:\.| +dot +))+(?:{'|'.join(ENDINGS)})\b)(?:[A-Za-z0-9-]+(?:\.| +dot +))*?[A-Za-z0-9-]+ +dot +(?:[A-Za-z0-9-]+(?:\.| +dot +))*(?:{'|'.join(ENDINGS)})\b", re.I)
+_BARE_DOT = re.compile(r" +dot +", re.I)
 _ENTITY = re.compile(r"&(?:#64;|#x40;|commat;|nbsp;)")
 _BROKEN_MARKS = ("-\n", "-\u200b\n", "-\u00ad\n", "‐\n", "‑\n", "－\n")
 _HOMOGLYPH = re.compile(f"[{''.join(HOMOGLYPHS)}]")
@@ -58,6 +62,11 @@ class Plain:
             found += _WRITTEN.finditer(source)
         if any(mark in source for mark in _BROKEN_MARKS):
             found += (m for m in _BROKEN.finditer(source) if source[m.start() - 1 : m.start()].isalpha())
+        lower = source.lower()
+        if " dot " in lower and " at " in lower:
+            for m in _BARE.finditer(source):
+                edits.append((*m.span(1), "@"))
+                edits += [(d.start(), d.end(), ".") for d in _BARE_DOT.finditer(source, m.end(1), m.end())]
         for m in found:
             start, text = m.start(), m.group()
             if text[0] in "[({<@＠" and source[start - 1 : start] == " " and start > 1:
@@ -67,7 +76,6 @@ class Plain:
             for word in _LETTERS.finditer(source):
                 if _HOMOGLYPH.search(word.group()) and _MIXED.search(word.group()):
                     edits += [(word.start() + i, word.start() + i + 1, HOMOGLYPHS[c]) for i, c in enumerate(word.group()) if c in HOMOGLYPHS]
-        lower = source.lower()
         spelled = sum(lower.count(mark) for mark in _SPELLED_MARKS) >= 5  # a number has six words, five of them after a space or hyphen
         for m in _NUMBER.finditer(source) if spelled else ():
             edits += [(m.start() + w.start(), m.start() + w.end(), SPELLED[w.group().lower()]) for w in _WORD.finditer(m.group())]

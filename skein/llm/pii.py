@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -45,7 +44,7 @@ _DIGITS = re.compile(r"\D+")
 
 # Shapes of personal numbers (national, tax, social security, passport).
 _ID_SHAPES = re.compile(
-    r"\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{17}[\dXx]|\d{8}-[A-Z]{2}\d{2}|\d{8}-[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,2}\d{7}"
+    r"\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{17}[\dXx]|\d{8}-[A-Z]{2}\d{2}|\d{8}-[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{1,2}\d{7}|\d{3} \d{2} \d{4}"
 )
 # Shapes of telephone numbers, written with or without a prefix.
 _PHONE_SHAPES = re.compile(
@@ -54,17 +53,29 @@ _PHONE_SHAPES = re.compile(
 # Words before a number that tell what it is.
 _ID_CUE = re.compile(
     r"(?:\bID|[Pp]assport|(?:social security|national identity|tax|identity|insurance|personal) (?:number|code|no\.?)|[Ss]teuernummer|[Pp]ersonenkennzahl|[Pp]ersonalausweis|[Aa]usweis|[Ss]ozialversicherungsnummer"
-    r"|(?:numéro|nº|número|n°) (?:fiscal|de sécurité sociale|d'identité|de identidad)|[Dd]ocumento|\bDNI|\bNIE|\bNIF|[Pp]asaporte|[Pp]asseport|身份证号?|证件号|护照号?|税号|个人番号|個人番号|(?<!電話)(?<!登録)(?<!出願)番号|マイナンバー|旅券番号|inventor|des Halters)\W{0,4}(?:(?:des|of|du|del|der) \w+\W{0,3})?$"
+    r"|(?:numéro|nº|número|n°) (?:fiscal|de sécurité sociale|d'identité|de identidad)|[Dd]ocumento|\bDNI|\bNIE|\bNIF|[Pp]asaporte|[Pp]asseport|身份证号?|证件号|护照号?|税号|个人番号|個人番号|(?<!電話)(?<!登録)(?<!出願)番号|マイナンバー|旅券番号|SSN|NINO|PESEL|CPF|[Tt]ax ID|TIN|[Cc]odice fiscale|[Ii]nventor)\W{0,4}(?:(?:des|of|du|del|der) \w+\W{0,3})?$"
 )
 _PHONE_CUE = re.compile(
-    r"(?:\b[Tt]el|\b[Tt]él|\bTEL|[Tt]elefono|[Tt]eléfono|[Tt]elefon|[Tt]éléphone|[Tt]elephone|[Pp]hone|[Ff]ax|FAX|[Mm]obil\w*|\b[Cc]all|[Rr]each us|erreichbar unter|\bunder|\bunter|Störungen|panne|avería|电话|電話|電話番号|手机|携帯)\W{0,4}$"
+    r"(?:\b[Tt]el|\b[Tt]él|\bTEL|[Tt]elefono|[Tt]eléfono|[Tt]elefon|[Tt]éléphone|[Tt]elephone|[Pp]hone|[Ff]ax|FAX|[Mm]obil\w*|\b[Cc]all|[Rr]each us|\b[Dd]ial|\bunder|\bunter|\bsous|\bbajo|电话|電話|電話番号|手机|携帯)\W{0,4}$"
 )
 _OTHER_CUE = re.compile(
-    r"(?:\btype|\bTyp|\bbatch|\bmodel code|\bcode|\bstandard(?: [A-Z]{2})?|registry number|application No\.?|\bNo\.?|\bNr\.?|measures|\breached|document(?: [A-Z]{2})?|\bserial|\bpart number|\bRegistry|\bversion|\border|\bCAS|marked|seal of type|\bdocket|claims?|Fig\.|\bEq\.)\W{0,3}$"
+    r"(?:\btype|\bTyp|\bbatch|\bmodel code|\bcode|\bstandard(?: [A-Z]{2})?|registry number|application No\.?|\bNo\.?|\bNr\.?|measures|\breached|document(?: [A-Z]{2})?|\bserial|\bpart number|\bRegistry|\bversion|\border|\bCAS|marked|\bdocket|claims?|Fig\.|\bEq\.)\W{0,3}$"
 )
 _UNIT = re.compile(r"\s?(?:mm|cm|µm|nm|km|kPa|MPa|Pa|Hz|kHz|MHz|°C|kg|mg|ml|min|cycles|wt|%|percent)(?![^\W_])")
 
 
+def checked_digits(number: str) -> bool:
+    """Whether a number of 18 signs holds a date and the check sign of a Chinese citizen's number."""
+    if len(number) != 18 or not number[:17].isdigit():
+        return False
+    month, day = int(number[10:12]), int(number[12:14])
+    if number[6:8] not in ("18", "19", "20") or not 1 <= month <= 12 or not 1 <= day <= 31:
+        return False
+    # weights are the powers of two modulo 11
+    total = sum(int(d) * pow(2, 17 - i, 11) for i, d in enumerate(number[:17]))
+    return (12 - total) % 11 == (10 if number[17] in "Xx" else int(number[17]))
+
+
 def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
     at = 0
     while m := _RUN.search(text, at):
@@ -104,8 +115,8 @@ def _number(text: str, start: int, end: int, far: int) -> tuple[int, int, str] |
         m = _ID_SHAPES.match(flat)
         if m and m.end() >= end - start:
             shape = m.group()
-            loose = shape.isdigit() or re.fullmatch(r"\d{2} \d{3} \d{3} \d{3}", shape)
-            if id_cue or not loose:
+            loose = shape.isdigit() or re.fullmatch(r"\d{2} \d{3} \d{3} \d{3}|\d{3} \d{2} \d{4}", shape)
+            if id_cue or not loose or checked_digits(shape):
                 return start, start + m.end(), ID_NUMBER
         if id_cue and len(digits) >= 6 and flat[0] not in "+(":
             return start, end, ID_NUMBER
@@ -122,22 +133,27 @@ def _number(text: str, start: int, end: int, far: int) -> tuple[int, int, str] |
 
 _CAP = r"[^\W\d_a-zà-öø-ÿ][\w'’]*(?:-[\w'’]+)*"
 _TOWN = rf"{_CAP}(?: {_CAP})?"
-_CODE = r"(?:[A-Z]{1,2}-)?\d{4,6}"
+_CODE = r"(?:(?:[A-Z]{1,2}-)?\d{4,6}|\d{2}-\d{3})"
+# Fixed value: shape of British postal codes.
+_BRITISH = r"[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}(?!\w)"
 _STEP = r"(?:, |,\n|\n)"
-_TAIL = rf"(?:(?:{_STEP}| ){_CODE} {_TOWN}|{_STEP}{_TOWN} {_CODE}(?!\d)|, {_TOWN}|\n{_TOWN}(?=[.,;])|(?:{_STEP}| ){_CODE}(?!\d))?"
+_TAIL = rf"(?:{_STEP}{_TOWN}(?:,? |,?\n){_BRITISH}|{_STEP}{_TOWN}, [A-Z]{{2}} \d{{5}}(?:-\d{{4}})?(?!\d)|(?:{_STEP}| ){_CODE} {_TOWN}|{_STEP}{_TOWN} {_CODE}(?!\d)|, {_TOWN}|\n{_TOWN}(?=[.,;])|(?:{_STEP}| ){_CODE}(?!\d))?"
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) \w+"
 _ROAD = r"(?:Street|St\.|St|Lane|Ln\.?|Road|Rd\.?|Avenue|Ave\.?|Terrace|Way|Drive|Court|Place|Close|Row|Square|Hill|Boulevard|Blvd\.?|Crescent|Gardens|Grove|Mews|Parade|Walk)(?!\w)"
+_VIA = rf"(?:Via|Viale|Piazza|Corso|Largo|Vicolo)(?: del(?:la|lo)?| dei| degli| di)? {_CAP}(?: {_CAP})?"
 _STREET = [
     rf"(?:{_FLAT}, )?\d{{1,5}} ?[A-Z]? (?:{_CAP} ){{1,3}}{_ROAD}(?:, {_FLAT}|, #\w+)?",
     r"(?:P\. ?O\. ?Box|PO Box|Post Office Box|Box|Postfach|Apartado(?: de Correos)?|Boîte postale|B\.?P\.?) \d{2,6}",
     rf"(?:{_CAP}(?:str\.|straße|strasse|weg|platz|gasse|allee|ring|ufer|damm)|{_CAP}er (?:Weg|Straße|Str\.|Platz|Allee|Gasse|Ring|Damm)|(?:Am|An der|An den|Im|In der|Zum|Zur|Auf dem|Auf der|Unter den|Hinter der) {_CAP}) \d{{1,4}}(?: ?[a-z](?![\w-]))?",
     rf"\d{{1,4}}(?: ?(?:bis|ter|[A-Z]))?,? (?:rue|avenue|av\.|boulevard|bd|place|chemin|allée|impasse|quai|route|cours|square)(?: de la| de l'| du| des| de| d')?[ ']?{_CAP}(?: {_CAP})?",
     rf"(?:Calle|C/|Avda\.|Avda|Av\.|Avenida|Plaza|Pza\.|Paseo|P\.º|Camino|Ronda|Travesía|Carretera)(?: de la| de los| de las| del| de)? ?{_CAP}(?: {_CAP})?,? (?:n\.?º ?)?\d{{1,4}}(?:, \d{{1,2}}\.?[ºª](?: ?[A-Z](?!\w))?)?",
+    rf"(?:\d{{1,4}},? {_VIA}|{_VIA},? \d{{1,4}})",
+    rf"(?:ul\.|al\.|pl\.) {_CAP}(?: {_CAP})? \d{{1,4}}(?:/\d{{1,4}})?",
 ]
 _WEST = [re.compile(rf"(?<![\w/]){s}{_TAIL}") for s in _STREET]
 # Words that an address has; only their surroundings are searched.
 _WEST_HINTS = (
-    "Street St. St, Lane Ln Road Rd Avenue Ave Terrace Way Drive Court Place Close Row Square Hill Boulevard Blvd Crescent Gardens Grove Mews Parade Walk Box Postfach Apartado Boîte BP B.P str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str. rue avenue av. boulevard bd chemin allée impasse quai route cours Calle C/ Avda Av. Avenida Plaza Pza Paseo Camino Ronda Travesía Carretera"
+    "Street St. St, Lane Ln Road Rd Avenue Ave Terrace Way Drive Court Place Close Row Square Hill Boulevard Blvd Crescent Gardens Grove Mews Parade Walk Box Postfach Apartado Boîte BP B.P str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str. rue avenue av. boulevard bd chemin allée impasse quai route cours Calle C/ Avda Av. Avenida Plaza Pza Paseo Camino Ronda Travesía Carretera Via Viale Piazza Corso Largo Vicolo ul. al. pl."
 ).split() + ["Am ", "An der ", "An den ", "Im ", "In der ", "Zum ", "Zur ", "Auf de", "Unter den ", "Hinter der ", " place d", " square d"]
 #: Ends of German street names, hints only before a number.
 _NUMBERED = frozenset("str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str.".split())
@@ -154,27 +170,36 @@ _EAST_LEAD = re.compile(r"^.*?(?:地址|住所|住址|位于|保管在|保管于
 
 def _addresses(text: str, west: list[int], east: list[int]) -> Iterator[tuple[int, int]]:
     """Addresses around the places of hints."""
-    for low, high in _windows(west, 70, 90, len(text)):
+    for low, high in _windows(text, west):
         for pattern in _WEST:
             for m in pattern.finditer(text, low, high):
                 yield m.span()
-    for low, high in _windows(east, 50, 30, len(text)):
+    for low, high in _windows(text, east):
         for pattern in _EAST:
             for m in pattern.finditer(text, low, high):
                 lead = _EAST_LEAD.match(m.group())
                 yield m.start() + (lead.end() if lead else 0), m.end()
 
 
-def _windows(places: list[int], before: int, after: int, length: int) -> Iterator[tuple[int, int]]:
-    """Stretches around places in order, joined where they overlap."""
+def _windows(text: str, places: list[int]) -> Iterator[tuple[int, int]]:
+    """The lines of places in order, with the line before and the two after, joined where they overlap."""
     low = high = None
     for at in places:
-        if high is None:
-            low = max(0, at - before)
-        elif at - before > high:
+        if high is not None and at < last:
+            continue  # within the line before
+        first = text.rfind("\n", 0, at)
+        before = text.rfind("\n", 0, first) + 1 if first > 0 else 0
+        last = text.find("\n", at)
+        last = len(text) if last < 0 else last
+        after = last
+        for _ in range(2):
+            after = text.find("\n", after + 1) if after < len(text) else len(text)
+            after = len(text) if after < 0 else after
+        if high is not None and before > high:
             yield low, high
-            low = at - before
-        high = min(length, at + after)
+            low = None
+        low = before if low is None else low
+        high = after
     if high is not None:
         yield low, high
 
@@ -232,8 +257,10 @@ class NameParts:
         return any(w[:k] in heads and w[k:] in tails for k in range(3, len(w) - 1))
 
 
-def _hints(beginnings: set[str]) -> ahocorasick.Automaton:
-    """Finds, in one pass over a text, the places that need a closer look."""
+def _hints(beginnings: set[str]):
+    """An automaton that finds, in one pass over a text, the places that need a closer look."""
+    import ahocorasick
+
     found: dict[str, str] = {}
 
     def add(kind: str, words: Iterable[str]) -> None:
@@ -348,9 +375,9 @@ _EAST_NAME = re.compile(rf"[^ :：\n]{{1,6}}[:： ]?[ 　]?([{_HAN}]{{2,5}})(?![
 _EAST_NEXT = re.compile(rf"[ 　]?[;；/、,，][ 　]?([{_HAN}]{{2,5}})(?![{_HAN}぀-ヿ：:])")
 _EAST_TITLE = re.compile(rf"(?<![{_HAN}])([{_HAN}]{{2,5}}?)(?:先生|女士|氏|様|さん|教授|博士)(?![{_HAN}])")
 # Words before a person in European text.
-_WEST_CUES = "Inventor Erfinder Inventeur (72) (74) (75) Frau Herr Mr Mrs Ms Dr Prof Mme Mlle Sr. Sra. signed witnessed gezeichnet Gezeichnet Signé signé Firmado firmado realizados menés".split()
+_WEST_CUES = "Inventor Erfinder Inventeur (72) (74) (75) Frau Herr Mr Mrs Ms Dr Prof Mme Mlle Sr. Sra. signed witnessed gezeichnet Gezeichnet Signé signé Firmado firmado".split()
 _WEST_CUED = re.compile(
-    rf"(?:Inventor(?:s|es)?|Erfinder(?:in)?|Inventeur(?:s|e)?|\(7[245]\)(?: Dr\.| Prof\.)?|Frau|Herrn?|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?|Mme|Mlle|Sr\.|Sra\.|signed by|witnessed by|[Gg]ezeichnet|[Ss]igné|[Ff]irmado por|realizados por|menés par M\.)"
+    rf"(?:Inventor(?:s|es)?|Erfinder(?:in)?|Inventeur(?:s|e)?|\(7[245]\)(?: Dr\.| Prof\.)?|Frau|Herrn?|Mr\.?|Mrs\.?|Ms\.?|Dr\.?|Prof\.?|Mme|Mlle|Sr\.|Sra\.|signed by|witnessed by|[Gg]ezeichnet|[Ss]igné|[Ff]irmado por)"
     rf" ?[:：]? ?((?:{_CAP},? )(?:[^\W\d_]\. )?(?:{_PARTICLE} )*{_CAP}|[^\W\d_]\. (?:{_PARTICLE} )*{_CAP})(?=[ ]?(?:$|[\n;,/(<。、，]|\.|tel|und |and |et |y ))"
 )
 # Words that end the names of firms, and of things named after people.

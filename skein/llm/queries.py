@@ -59,6 +59,16 @@ def p4_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_values(_reddening(spark, sf_dir), ["true_label", "day"], "reddening_mag")
 
 
+def p4_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that each daily sketch stands for."""
+    return p4_daily_sketches(spark, sf_dir).select("true_label", F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+_P4_DAYS_SQL = """SELECT true_label, strftime(day, '%Y-%m-%d') AS day, count(*) AS n FROM (
+      SELECT row_index, lower(regexp_replace(true_label, '^\\s+|\\s+$', '', 'g')) AS true_label, reddening_mag, min(ingested_at) AS day FROM stars GROUP BY ALL)
+    WHERE isfinite(reddening_mag) GROUP BY ALL"""
+
+
 def _label_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_quantiles(merge_sketches(p4_daily_sketches(spark, sf_dir), ["true_label"]), list(FRACTIONS.values()))
 
@@ -108,6 +118,19 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe_clusters(markov_clusters(table(spark, sf_dir, "stars"), *_STAR)).withColumnRenamed("group_key", "realisation")
 
 
+def p5_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Star records of each realisation in clusters, whether each is in one only, and whether every cluster is named by its least record."""
+    members = markov_clusters(table(spark, sf_dir, "stars"), *_STAR)
+    least = members.groupBy("group_key", "cluster_id").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    once = members.groupBy("group_key", "id").agg(F.count("*").alias("uses")).groupBy("group_key").agg(F.count("*").alias("n_records"), (F.max("uses") == 1).alias("once"))
+    named = least.groupBy("group_key").agg(F.bool_and(F.col("least") == F.col("cluster_id")).alias("named"))
+    return once.join(named, "group_key").withColumnRenamed("group_key", "realisation")
+
+
+_P5_COVER_SQL = """SELECT realisation, count(DISTINCT row_index) AS n_records, true AS once, true AS named FROM stars
+    WHERE realisation IS NOT NULL AND row_index IS NOT NULL AND isfinite(x_pc) AND isfinite(y_pc) AND isfinite(z_pc) AND isfinite(reddening_mag) GROUP BY realisation"""
+
+
 def _p5_sql() -> str:
     def near(p: str, q: str, limits: tuple[float, float]) -> str:
         return f"sqrt(pow({p}.x-{q}.x,2)+pow({p}.y-{q}.y,2)+pow({p}.z-{q}.z,2)) <= {limits[0] + 1e-9} AND abs({p}.a-{q}.a) <= {limits[1] + 1e-9}"
@@ -169,6 +192,21 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at hand per target, and whether no document is used too often and each share is met to a hundredth."""
+    shares = p7_shares(spark, sf_dir)
+    usable = F.col("n_documents") > 0
+    wanted = F.when(usable, F.col("target_share")).otherwise(0.0)
+    total = shares.agg(F.sum(wanted).alias("total"))
+    met = F.abs(F.col("reached_share") - wanted / F.col("total")) <= 0.01
+    return shares.join(F.broadcast(total)).select("source", "target_share", "n_documents", (F.col("most_uses") <= F.col("max_repeats")).alias("within_repeats"), met.alias("share_met"))
+
+
+# the shares themselves are counted in tokens, which SQL can't; that they are met is what the query must show
+_P7_CHECK_SQL = """SELECT source, target_share, count(DISTINCT doc_id) AS n_documents, true AS within_repeats, true AS share_met
+    FROM mix_targets LEFT JOIN (SELECT doc_id, source FROM documents WHERE text <> '') USING (source) WHERE source IS NOT NULL GROUP BY source, target_share"""
+
+
 # --- 8: personal information
 
 
@@ -182,12 +220,29 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal_information(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_parts"))
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of every text, and whether the redacted one has all of it but the passages, each with a placeholder in its place."""
+    documents, parts = table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts")
+    spans = find_personal_information(documents, "doc_id", "text", parts).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("cut"), F.sum(F.length("kind") + 2).alias("put"))
+    after = redact_personal_information(documents, "doc_id", "text", parts).select("doc_id", F.length("text").alias("after"), "n_redacted")
+    both = documents.select("doc_id", F.length("text").alias("n_chars")).join(after, "doc_id").join(spans, "doc_id", "left").na.fill(0, ["n", "cut", "put"])
+    kept = F.coalesce(F.col("after") == F.col("n_chars") - F.col("cut") + F.col("put"), F.lit(True)) & (F.col("n") == F.col("n_redacted"))
+    return both.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), kept.alias("rest_kept"))
+
+
+_P8_CHECK_SQL = "SELECT doc_id, length(text)::BIGINT AS n_chars, true AS rest_kept FROM documents"
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_group_sizes": p3_group_sizes,
     "p4_percentiles": p4_percentiles,
     "p4_daily_sketches": p4_daily_sketches,
     "p4_rank_check": p4_rank_check,
+    "p4_daily_counts": p4_daily_counts,
+    "p5_cover": p5_cover,
+    "p7_check": p7_check,
+    "p8_check": p8_check,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_packing": p6_packing,
@@ -205,4 +260,8 @@ SQL = {
     "p4_rank_check": _P4_CHECK_SQL,
     "p5_found": _p5_sql(),
     "p6_check": _P6_CHECK_SQL,
+    "p4_daily_counts": _P4_DAYS_SQL,
+    "p5_cover": _P5_COVER_SQL,
+    "p7_check": _P7_CHECK_SQL,
+    "p8_check": _P8_CHECK_SQL,
 }

@@ -28,6 +28,14 @@ CASES = [
     ("thanks to HOLMQVIST, Torlis and marlis lind-\nberg", [("person_name", "holmqvisttorlis"), ("person_name", "marlislindberg")]),
     ("by T. Lindqvist.", [("person_name", "tlindqvist")]),
     ("the Holmqvist test, the Holmberg–Lindberg relation, a sealing ring", []),
+    ("ask john at example dot com or JO.B AT mail dot example DOT org today", [("email", "johnatexampledotcom"), ("email", "jobatmaildotexampledotorg")]),
+    ("layers formed at quantum dot sites, at example dot positions", []),
+    ("SSN 123 45 6789 on file; a lot of 123 45 6789 parts", [("id_number", "123456789")]),
+    ("holder 11010519491231002X, lot 110105194912310021", [("id_number", "11010519491231002x")]),
+    ("sent to 12 Via Roma, 00184 Roma, by post", [("street_address", "12viaroma00184roma")]),
+    ("lives at ul. Marszałkowska 10, 00-590 Warszawa, since", [("street_address", "ulmarszałkowska1000590warszawa")]),
+    ("at 10 Downing Street, London SW1A 2AA, and", [("street_address", "10downingstreetlondonsw1a2aa")]),
+    ("at 350 Fifth Avenue, Albany, NY 10118, and", [("street_address", "350fifthavenuealbanyny10118")]),
     ("发明人：苔井朔苓\n摘要", [("person_name", "苔井朔苓")]),
 ]
 
@@ -96,3 +104,14 @@ def test_titles_and_what_follows_a_number(text, wanted):
 )
 def test_dots_and_digits_in_words(text, plain):
     assert Plain(text).text == plain
+
+
+def test_a_long_line_is_searched_whole():
+    text = "the " + "coating of the inner ring " * 40 + "goes to " + "Flat 3, 12 Upper Northern Quellmoor Terrace, Saint-Orvel 66231" + ", where " + "it is kept dry and warm " * 40
+    assert [(kind, as_found(text[a:b])) for a, b, kind in find_spans(text, PARTS)] == [("street_address", "flat312uppernorthernquellmoorterracesaintorvel66231")]
+
+
+def test_a_text_without_the_automaton_library_still_loads():
+    import skein.llm.pii as pii
+
+    assert not hasattr(pii, "ahocorasick")
