@@ -11,13 +11,15 @@ from skein.functions.stats import Z95, bh_qvalues, bootstrap_mean, effect_size,
 from skein.operators.bimodality import bimodality
 from skein.operators.breaks import jenks_two_class, two_line_cdf
 from skein.operators.copies import max_abs_difference
-from skein.operators.mixture import Gate
+from skein.operators.mixture import REGULARISATION, Gate, gate_nodes, score_verdicts
 from skein.operators.near import finite
 from skein.operators.running import rank_quantile, running
 from skein.operators.score import best_match, better_equal_worse, field_summary, fragments_and_merges, resolution_flags, retention_agreement
-from skein.plans import montecarlo
+from skein.plans.noise import with_levels
+from skein.plans.orders import order_aggregate, paired_orders
 from skein.plans.refine import numbered_leaves, pipeline, seed_nodes
 from skein.plans.stage1 import groups_at_radius, spatial_groups
+from skein.scratch import Scratch
 from skein.sources.tables import join_kinematics, unfinished
 
 AT = ["x_pc", "y_pc", "z_pc"]
@@ -230,6 +232,28 @@ def coverage_gate(spark, sf_dir):
 _COVERAGE_SQL = f"""{_GROUPS}, n AS (SELECT m.g, group_id, count(*) AS n, count(*) FILTER (isfinite(reddening_mag)) AS n_observed FROM m JOIN s ON s.row_index = m.id GROUP BY m.g, group_id)
   SELECT *, round(n_observed / n, 9) AS coverage, CASE WHEN n_observed < n THEN 'insufficient_reddening_coverage' WHEN n_observed < 10 THEN 'too_few_finite_reddening_values' ELSE 'fit' END AS reason FROM n"""
 
+def gate_reddening(spark, sf_dir):
+    """The reddening gate of the groups, fitted: its evidence of one population, and whether that of two and the separation follow from the parameters it returns."""
+    gate = Gate()
+    s = stars(spark, sf_dir).select(F.col("row_index").alias("id"), "reddening_mag")
+    members = _groups(spark, sf_dir).join(s, "id").withColumn("node", F.format_string("%d:%d", "g", "group_id"))
+    scratch = Scratch(spark, "gate")
+    members = scratch.keep(members.select("node", "id", "g", "group_id", "reddening_mag"), "members")
+    verdicts, _ = gate_nodes(members, gate, scratch)
+    again = score_verdicts(members, verdicts, gate)
+    close = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= 1e-6 * (1 + F.abs(F.col(b))), F.lit(True))
+    keys = members.select("node", "g", "group_id").distinct()
+    early = F.when(F.col("reason").startswith("insufficient") | F.col("reason").startswith("too_few"), F.col("reason")).otherwise(F.lit("fit"))
+    return keys.join(verdicts, "node").join(again, "node", "left").select(
+        "g", "group_id", "n", "n_observed", early.alias("reason"), r("bic_1").alias("bic_1"), close("bic_again", "bic_2").alias("bic_follows"), close("separation_again", "separation").alias("separation_follows"),
+    )
+
+
+# SQL counts the evidence of one population itself; that the rest follows from the parameters is what the query must show
+_GATE_SQL = f"""{_GROUPS}, n AS (SELECT m.g, group_id, count(*) AS n, count(*) FILTER (isfinite(reddening_mag)) AS o, var_pop(reddening_mag) FILTER (isfinite(reddening_mag)) AS v FROM m JOIN s ON s.row_index = m.id GROUP BY m.g, group_id)
+  SELECT g, group_id, n, o AS n_observed, CASE WHEN o < n THEN 'insufficient_reddening_coverage' WHEN o < 10 THEN 'too_few_finite_reddening_values' ELSE 'fit' END AS reason,
+    CASE WHEN o = n AND o >= 10 THEN round(2 * ln(o) + o * (v / (v + {REGULARISATION!r}::DOUBLE) + ln(v + {REGULARISATION!r}::DOUBLE) + ln(2 * pi())), 6) END AS bic_1, true AS bic_follows, true AS separation_follows FROM n"""
+
 # --- breaks and robust statistics of the reddening
 
 
@@ -306,9 +330,8 @@ def noise_sweep(spark, sf_dir):
     """Reddening with one normal draw a star, scaled by each noise level: spread per label and level."""
     u = lambda m, a: f"((row_index * {m}L + {a}L) % 4294967296L + 0.5D) / 4294967296.0D"
     draw = F.expr(f"sqrt(-2 * ln({u(668265263, 17)})) * cos(2 * pi() * {u(374761393, 5)})")
-    s = stars(spark, sf_dir).where(finite(F.col("reddening_mag"))).select("label", "reddening_mag", draw.alias("draw"))
-    levels = F.explode(F.array(*(F.lit(x) for x in (0.0, 0.025, 0.05, 0.1, 0.2)))).alias("sigma")
-    noisy = s.select("label", levels, "reddening_mag", "draw").withColumn("x", F.col("reddening_mag") + F.col("sigma") * F.col("draw"))
+    s = stars(spark, sf_dir).where(finite(F.col("reddening_mag"))).select("label", "row_index", F.col("reddening_mag").alias("x"))
+    noisy = with_levels(s, "x", [0.0, 0.025, 0.05, 0.1, 0.2], draw)
     return noisy.groupBy("label", "sigma").agg(F.count("*").alias("n"), r(F.avg("x")).alias("mean"), r(F.stddev_samp("x")).alias("spread"))
 
 
@@ -448,16 +471,6 @@ def placed_stars(spark, sf_dir):
 _PLACED_SQL = f"""WITH {_S}, a AS (SELECT realisation, max(velocity_direction_angle_rad) AS a FROM run_metadata WHERE realisation IS NOT NULL AND isfinite(velocity_direction_angle_rad) GROUP BY realisation)
   SELECT realisation, label, round(avg(cos(a)*x_pc - sin(a)*y_pc), 6) AS x, round(avg(sin(a)*x_pc + cos(a)*y_pc), 6) AS y FROM s JOIN a USING (realisation) WHERE label <> 'background' AND isfinite(x_pc) AND isfinite(y_pc) GROUP BY ALL"""
 
-def generated_fields(spark, sf_dir):
-    """The labelled stars of all realisations placed anew in every registered run, with velocities: spread and mean velocity per label."""
-    made = stars(spark, sf_dir).where("label <> 'background'").where(finite(F.col("x_pc")) & finite(F.col("y_pc")) & finite(F.col("z_pc")))
-    labels = [x.template_label for x in table(spark, sf_dir, "templates").select("template_label").orderBy("template_label").collect()]  # fixed, 12
-    templates = montecarlo.pooled_templates(made.select(F.col("realisation").alias("g"), "label", canonical_id(F.col("source_id")).alias("star"), F.col("row_index").alias("id"), *(F.col(c).alias(a) for c, a in zip(AT, "xyz"))))
-    fields = table(spark, sf_dir, "run_metadata").where("realisation is not null").select(F.col("realisation").alias("g")).distinct()
-    placed = montecarlo.place(templates, montecarlo.placements(fields, labels))
-    moving = montecarlo.inject_velocities(placed, (labels[0], labels[1]), 5.0, 1.0)
-    return moving.groupBy(F.col("g").alias("realisation"), "label").agg(F.count("*").alias("n"), F.avg(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("distance"), F.avg("vl").alias("mean_vl"), F.avg("vb").alias("mean_vb"))
-
 
 # --- the staged analysis itself
 
@@ -487,12 +500,46 @@ def refined_s2_s3_passes(spark, sf_dir):
     return done[0].passes.withColumn("stage", F.lit(2)).unionByName(done[1].passes.withColumn("stage", F.lit(3)))
 
 
+def _both_orders(spark, sf_dir):
+    found = spatial_groups(table(spark, sf_dir, "stars"), "row_index", "realisation", AT)
+    seen = stars(spark, sf_dir).select(F.col("row_index").alias("id"), *(F.col(c).alias(a) for c, a in zip(AT, "xyz")), "reddening_mag", "vl_lsr_kms", "vb_lsr_kms")
+    truth = _truth(spark, sf_dir)
+    return paired_orders(found, seen, truth.select("g", "id"), truth, ("template_01", "template_02"), Gate(("reddening_mag",)), Gate(("vl_lsr_kms", "vb_lsr_kms")))
+
+
+def order_scores(spark, sf_dir):
+    """Scores of every field's labels after both orders of the stages, paired one to one."""
+    return _both_orders(spark, sf_dir).labels
+
+
+def order_summary(spark, sf_dir):
+    """Both orders over all fields in one row."""
+    return order_aggregate(_both_orders(spark, sf_dir).fields)
+
+
+def level_means(spark, sf_dir):
+    """Mean scores of each noise level and their differences from the first level in order."""
+    q = runs(spark, sf_dir).where("sigma_milli is not null")
+    value = {"completeness": "mean_completeness", "purity": "mean_purity", "jaccard": "mean_jaccard", "strict": "strict_recoveries_of_8", "resolution": "formal_overlap_resolved", "splits": "s3_accepted_splits", "orphans": "s3_orphans"}
+    number = {n: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for n, c in value.items()}
+    means = q.groupBy("sigma_milli").agg(F.count("*").alias("n"), *(F.avg(v).alias(n) for n, v in number.items()))
+    first = means.agg(F.min_by(F.struct(*number), "sigma_milli").alias("first"))
+    both = means.join(F.broadcast(first))  # one row
+    return both.select("sigma_milli", "n", *(r(n).alias(n) for n in number), *(r(F.col(n) - F.col(f"first.{n}")).alias(f"delta_{n}") for n in number))
+
+
+_LEVELS = ("completeness", "purity", "jaccard", "strict", "resolution", "splits", "orphans")
+_LEVEL_SQL = f"""WITH {_RUNS}, m AS (SELECT sigma_milli, count(*) AS n, avg(completeness) AS completeness, avg(purity) AS purity, avg(jaccard) AS jaccard, avg(strict) AS strict, avg(CAST(formal AS INTEGER)) AS resolution, avg(splits) AS splits, avg(s3_orphans) AS orphans
+    FROM q WHERE sigma_milli IS NOT NULL GROUP BY sigma_milli), b AS (SELECT * FROM m ORDER BY sigma_milli LIMIT 1)
+  SELECT m.sigma_milli, m.n, {", ".join(f"round(m.{c}, 6) AS {c}, round(m.{c} - b.{c}, 6) AS delta_{c}" for c in _LEVELS)} FROM m, b"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, overlap_resolution, realisation_summary, retention,
         group_boxes, coverage_gate, jenks_by_label, two_line_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
-        purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, generated_fields, stage1_scales, refined_s3_s2, refined_s2_s3_passes,
+        purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, stage1_scales, refined_s3_s2, refined_s2_s3_passes, gate_reddening, order_scores, order_summary, level_means,
     )
 }
 
@@ -526,4 +573,6 @@ SQL = {
     "velocity_grid": _GRID_SQL,
     "unscored_runs": "SELECT DISTINCT realisation FROM run_metadata WHERE realisation IS NOT NULL AND realisation NOT IN (SELECT realisation FROM s3_runs WHERE realisation IS NOT NULL)",
     "placed_stars": _PLACED_SQL,
+    "gate_reddening": _GATE_SQL,
+    "level_means": _LEVEL_SQL,
 }

@@ -3,8 +3,10 @@ import random
 import pytest
 
 from skein.operators.mixture import Gate, fit_one, fit_two, gate_nodes
-from skein.plans.refine import membership, numbered_leaves, pipeline, refine, refine_shared_parent, seed_nodes
-from skein.plans.stage1 import groups_at_radius, spatial_groups
+from skein.operators.mixture import score_verdicts
+from skein.plans.orders import order_aggregate, paired_orders, paired_scores
+from skein.plans.refine import REDDENING_ONLY_ENDS, membership, numbered_leaves, pipeline, refine, refine_shared_parent, seed_nodes
+from skein.plans.stage1 import Stage1, groups_at_radius, spatial_groups
 from skein.scratch import Scratch
 
 AT = ["x", "y", "z"]
@@ -163,3 +165,55 @@ def test_overlapping_populations_settle_on_both_paths(spark, monkeypatch):
         assert beyond[node].delta_bic == pytest.approx(2 * (ll - fit_one(x)) - 3 * np.log(len(x)), abs=1e-6)
         assert beyond[node].separation == pytest.approx(np.sqrt(2) * abs(means[1, 0] - means[0, 0]) / np.sqrt(covs.sum()), abs=1e-6)
         assert sorted((beyond[node].n_low, beyond[node].n_high)) == sorted([(resp[:, 1] > resp[:, 0]).sum(), (resp[:, 1] <= resp[:, 0]).sum()])
+
+
+def test_verdicts_hold_the_fitted_populations_on_both_paths(spark, monkeypatch):
+    from skein.operators import mixture
+
+    monkeypatch.setattr(mixture, "MOST_STEPS", 12)
+    rnd = random.Random(9)
+    rows = [("n", i, (0.0 if i % 3 else 6.0) + rnd.gauss(0, 1), (0.0 if i % 3 else 2.0) + rnd.gauss(0, 0.5)) for i in range(90)]
+    frame = spark.createDataFrame(rows, "node string, id long, v double, w double")
+    found = []
+    for most in (100_000, 0):
+        verdicts, _ = gate_nodes(frame, Gate(("v",)), Scratch(spark, "t"), task_rows=most)
+        one = verdicts.first()
+        again = score_verdicts(frame, verdicts, Gate(("v",))).first()
+        assert again.bic_again == pytest.approx(one.bic_2, abs=1e-6) and again.separation_again == pytest.approx(one.separation, abs=1e-9)
+        assert one.delta_bic == pytest.approx(one.bic_1 - one.bic_2, abs=1e-9) and one.weight_low + one.weight_high == pytest.approx(1)
+        assert one.mean_low == pytest.approx(0, abs=0.5) and one.mean_high == pytest.approx(6, abs=0.7) and one.weight_high == pytest.approx(1 / 3, abs=0.05)
+        two = gate_nodes(frame, Gate(("v", "w")), Scratch(spark, "t"), task_rows=most)[0].first()
+        assert two.mean2_high == pytest.approx(2, abs=0.4) and two.sigma2_low == pytest.approx(0.5, abs=0.15) and two.centroid_separation == pytest.approx(6.3, abs=0.7)
+        found.append((one, two))
+    for a, b in zip(*found):
+        for name in a.asDict():
+            if isinstance(a[name], float):
+                assert a[name] == pytest.approx(b[name], abs=1e-3), name
+
+
+def test_reddening_as_the_only_stage(spark, nodes):
+    members, scales = nodes
+    done = refine(members, scales, Gate(("av",)), ends=REDDENING_ONLY_ENDS)
+    assert {r.status for r in done.nodes.collect()} == {"split", "final_no_significant_bimodality"}
+    split = done.splits.where("accepted").first()
+    assert (split.parts_0, split.parts_1, split.orphans_n, split.rejected_as) == (1, 1, 0, "") and 0.6 < split.cut < 1.4
+    assert {split.sizes_0, split.sizes_1} == {"30"} and split.weight_low == pytest.approx(0.5, abs=0.01)
+
+
+def test_both_orders_are_paired(spark, nodes):
+    members, scales = nodes
+    frame = spark.createDataFrame(planted(), SCHEMA)
+    stage1 = Stage1(scales, groups_at_radius(frame, "id", "g", AT, 3.0, min_size=10), None)
+    truth = [(r[0], r[1], "t1" if r[0] < 60 and r[0] % 2 else "t2" if r[0] < 60 else "background") for r in planted()]
+    truth = spark.createDataFrame(truth, "id long, g long, label string")
+    both = paired_orders(stage1, frame.drop("g"), frame.select("g", "id"), truth, ("t1", "t2"), Gate(("av",)), Gate(("vl", "vb")))
+    labels = both.labels.collect()
+    assert [(r.jaccard_forward, r.jaccard_reverse, r.delta_jaccard) for r in labels] == [(1.0, 1.0, 0.0)] * 2
+    one = order_aggregate(both.fields).first()
+    assert (one.n_runs, one.forward_strict_recoveries, one.reverse_formal_rate, one.same_retention) == (1, 2.0, 1.0, 1.0)
+    assert (one.mean_jaccard_better, one.mean_jaccard_equal, one.mean_jaccard_worse) == (0, 1, 0)
+    assert one.forward_s2_accepted_splits == one.reverse_s2_accepted_splits == 1.0
+    twice = both.labels.select("g", "label", "true_size", *(f"{c}_forward" for c in ("best_group", "overlap", "best_size", "completeness", "purity", "jaccard", "detected", "strict")))
+    twice = twice.toDF(*(c.removesuffix("_forward") for c in twice.columns))
+    with pytest.raises(ValueError):
+        paired_scores(twice.unionByName(twice), twice)
