@@ -32,13 +32,12 @@ for _c in "：，；、！？":
 _DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
 _NUMBER = re.compile(rf"\b(?:{_DIGIT})(?:[ -](?:{_DIGIT})){{5,}}\b", re.I)
 _WORD = re.compile(_DIGIT, re.I)
-_SPELLED_MARKS = tuple(space + word for word in SPELLED for space in " -")
+_SPELLED_MARKS = tuple(f" {word}" for word in SPELLED)
 _PLAIN = "".join(_ONE)
 #: Disguises by kind; a kind is searched for only in texts that hold its mark.
 _SIGNS = re.compile(rf"[@＠{_PLAIN}](?:(?<=[@＠])(?: (?=\S)|\n(?=\S))?|(?<=[{_PLAIN}])[{_PLAIN}]*)")
 _BROKEN = re.compile(r"[-‐‑－][\u200b\u00ad]?\n(?=[^\W\d_])")
 _WRITTEN = re.compile(r"[\[({<](?:(?:at|AT|At|arroba|ARROBA|arobase|AROBASE)|(?:dot|DOT|Dot|punkt|PUNKT|punto|PUNTO|point|POINT))[\])}>] ?")
-_WRITTEN_MARKS = tuple(f"{word}{close}" for word in ("at", "AT", "At", "arroba", "ARROBA", "arobase", "AROBASE", "dot", "DOT", "Dot", "punkt", "PUNKT", "punto", "PUNTO", "point", "POINT") for close in "])}>")
 # Ends of domain names; a bare at and dot is a disguise only before one of them.
 ENDINGS = "com org net edu gov info biz eu io de at ch fr be es it nl pl pt uk ie us ca mx br ar cn jp kr tw in au nz se no dk fi ru".split()
 _BARE = re.compile(rf"(?<=[A-Za-z0-9])( +at +)(?=(?:[A-Za-z0-9-]+(?:\.| +dot +))+(?:{'|'.join(ENDINGS)})\b)(?:[A-Za-z0-9-]+(?:\.| +dot +))*?[A-Za-z0-9-]+ +dot +(?:[A-Za-z0-9-]+(?:\.| +dot +))*(?:{'|'.join(ENDINGS)})\b", re.I)
@@ -58,8 +57,7 @@ class Plain:
         found = list(_SIGNS.finditer(source)) if not source.isascii() or "@" in source else []
         if "&" in source:
             found += _ENTITY.finditer(source)
-        if any(mark in source for mark in _WRITTEN_MARKS):
-            found += _WRITTEN.finditer(source)
+        found += _WRITTEN.finditer(source)
         if any(mark in source for mark in _BROKEN_MARKS):
             found += (m for m in _BROKEN.finditer(source) if source[m.start() - 1 : m.start()].isalpha())
         lower = source.lower()
@@ -76,7 +74,8 @@ class Plain:
             for word in _LETTERS.finditer(source):
                 if _HOMOGLYPH.search(word.group()) and _MIXED.search(word.group()):
                     edits += [(word.start() + i, word.start() + i + 1, HOMOGLYPHS[c]) for i, c in enumerate(word.group()) if c in HOMOGLYPHS]
-        spelled = sum(lower.count(mark) for mark in _SPELLED_MARKS) >= 5  # a number has six words, five of them after a space or hyphen
+        spaced = lower.replace("-", " ")
+        spelled = sum(map(spaced.count, _SPELLED_MARKS)) >= 5  # a number has six words, five of them after a space or hyphen
         for m in _NUMBER.finditer(source) if spelled else ():
             edits += [(m.start() + w.start(), m.start() + w.end(), SPELLED[w.group().lower()]) for w in _WORD.finditer(m.group())]
         # where two begin together the longer one counts

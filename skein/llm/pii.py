@@ -155,7 +155,7 @@ _WEST = [re.compile(rf"(?<![\w/]){s}{_TAIL}") for s in _STREET]
 _WEST_HINTS = (
     "Street St. St, Lane Ln Road Rd Avenue Ave Terrace Way Drive Court Place Close Row Square Hill Boulevard Blvd Crescent Gardens Grove Mews Parade Walk Box Postfach Apartado Boîte BP B.P str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str. rue avenue av. boulevard bd chemin allée impasse quai route cours Calle C/ Avda Av. Avenida Plaza Pza Paseo Camino Ronda Travesía Carretera Via Viale Piazza Corso Largo Vicolo ul. al. pl."
 ).split() + ["Am ", "An der ", "An den ", "Im ", "In der ", "Zum ", "Zur ", "Auf de", "Unter den ", "Hinter der ", " place d", " square d"]
-#: Ends of German street names, hints only before a number.
+#: Ends of German street names, hints only before a number; the small ones within a word, as no other hint is.
 _NUMBERED = frozenset("str. straße strasse weg Weg platz Platz gasse Gasse allee Allee ring ufer damm Ring Damm Straße Str.".split())
 _EAST_HINTS = ("号", "丁目", "番地", "番")
 _HAN = "㐀-䶿一-鿿々"
@@ -274,7 +274,7 @@ def _hints(beginnings: set[str]):
     add("p", _EAST_LABELS)
     hints = ahocorasick.Automaton()
     for word, kinds in found.items():
-        hints.add_word(word, (len(word), kinds, kinds != "n" and word[0].isascii() and word[0].isalpha() and not word[0].islower()))
+        hints.add_word(word, (len(word), kinds, kinds != "n" and word[0].isascii() and word[0].isalpha() and not (word[0].islower() and word in _NUMBERED)))
     hints.make_automaton()
     return hints
 
