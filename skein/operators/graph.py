@@ -118,12 +118,16 @@ def percolation(forest: DataFrame, job: str = "percolation", scan_edges: int = S
     group: ``rank`` and the size of the group's largest component before and
     after it (``largest_before``, ``largest_after``).
 
-    Runs of ``scan_edges`` ranks are scanned one after the other, each in one
-    task per group: the components before a run come from component search,
-    so no task holds more than a run, however large its group.
+    Runs of ``scan_edges`` ranks are scanned, each in one task per group, so no
+    task holds more than a run, however large its group.  Ranks are halved
+    down to such runs: the components of a lower half become the ends of the
+    upper half's edges, so each edge is relabelled once a halving and never
+    searched again from the start.
     """
     scratch = Scratch(forest.sparkSession, job)
-    ranked = scratch.keep(running(forest.select("g", "u", "v", "w"), ["g"], ["w", "u", "v"], None, job).drop("group_rows"), "ranked")
+    ranked = running(forest.select("g", "u", "v", "w"), ["g"], ["w", "u", "v"], None, job).drop("group_rows")
+    one = F.lit(1).cast("bigint")
+    ranked = scratch.keep(ranked.withColumns({"cu": F.col("u"), "cv": F.col("v"), "su": one, "sv": one, "largest": one}), "ranked")
     top = ranked.agg(F.max("rank")).first()[0] or 0
     schema = "g bigint, rank bigint, u bigint, v bigint, w double, largest_before bigint, largest_after bigint"
     parts: list[DataFrame] = []
@@ -135,20 +139,33 @@ def percolation(forest: DataFrame, job: str = "percolation", scan_edges: int = S
         before, after = np.array(rows, dtype=np.int64).T if rows else (np.empty(0, np.int64),) * 2
         return pdf[["g", "rank", "u", "v", "w"]].assign(largest_before=before, largest_after=after)
 
-    for start in range(0, top, scan_edges):
-        run = ranked.where((F.col("rank") > start) & (F.col("rank") <= start + scan_edges))
-        if start:
-            done = ranked.where(F.col("rank") <= start)
-            named = scratch.keep(connected_components(done, job=f"{job}-before"), "named")
-            sizes = named.groupBy("component").agg(F.count("*").alias("size"))
-            groups = done.select("g", F.col("u").alias("id")).distinct().join(named, "id").join(sizes, "component").groupBy("g").agg(F.max("size").alias("largest"))
-            sized = scratch.keep(named.join(sizes, "component"), "sized")
-            a, b = (sized.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"), F.col("size").alias(f"s{x}")) for x in "uv")
-            run = run.join(a, "u", "left").join(b, "v", "left").join(groups, "g", "left")
-            run = run.withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v"), "su": F.coalesce("su", F.lit(1)), "sv": F.coalesce("sv", F.lit(1)), "largest": F.coalesce("largest", F.lit(1))})
-        else:
-            run = run.withColumns({"cu": F.col("u"), "cv": F.col("v"), "su": F.lit(1), "sv": F.lit(1), "largest": F.lit(1)})
-        parts.append(scratch.keep(run.groupBy("g").applyInPandas(scan, schema), "scan"))
+    def solve(edges: DataFrame, first: int, last: int) -> None:
+        """Scan the ranks after ``first`` up to ``last``, whose ends are the components before ``first``."""
+        runs = -(-(last - first) // scan_edges)
+        if runs <= 1:
+            parts.append(scratch.keep(edges.groupBy("g").applyInPandas(scan, schema), "scan"))
+            return
+        middle = first + runs // 2 * scan_edges
+        low, high = edges.where(F.col("rank") <= middle), edges.where(F.col("rank") > middle)
+        solve(low, first, middle)
+        # a group with ranks above the middle has all those below
+        low = low.join(high.select("g").distinct(), "g", "left_semi")
+        named = scratch.keep(connected_components(low.select(F.col("cu").alias("u"), F.col("cv").alias("v")), job=f"{job}-half"), "named")
+        ends = low.select("g", F.col("cu").alias("id"), F.col("su").alias("size")).unionByName(low.select("g", F.col("cv").alias("id"), F.col("sv").alias("size"))).distinct()
+        sizes = scratch.keep(ends.join(named, "id").groupBy("g", "component").agg(F.sum("size").alias("size")), "sizes")
+        grown = sizes.groupBy("g").agg(F.max("size").alias("grown"))
+        sized = named.join(sizes.drop("g"), "component")
+        a, b = (sized.select(F.col("id").alias(f"c{x}"), F.col("component").alias(f"n{x}"), F.col("size").alias(f"m{x}")) for x in "uv")
+        high = high.join(a, "cu", "left").join(b, "cv", "left").join(grown, "g")
+        high = high.select("g", "rank", "u", "v", "w", *(F.coalesce(f"n{x}", f"c{x}").alias(f"c{x}") for x in "uv"), *(F.coalesce(f"m{x}", f"s{x}").alias(f"s{x}") for x in "uv"), F.greatest("largest", "grown").alias("largest"))
+        high = scratch.keep(high, "high")
+        scratch.drop(named, sizes)
+        solve(high, middle, last)
+        scratch.drop(high)
+
+    if top:
+        solve(ranked, 0, top)
+        scratch.drop(ranked)
     if not parts:
         return forest.sparkSession.createDataFrame([], schema)
     out = parts[0]

@@ -83,6 +83,20 @@ def test_percolation_in_runs(spark, run):
     assert percolation_limit(percolation(frame, scan_edges=run)).first().limit == min(jumps)[2]
 
 
+def test_percolation_of_several_groups_in_halves(spark):
+    rnd = random.Random(11)
+    rows, want = [], []
+    for g, n in enumerate((50, 9, 2, 23)):
+        points = [(rnd.random(), rnd.random()) for _ in range(n)]
+        tree = kruskal([(100 * g + i, 100 * g + j, math.dist(points[i], points[j])) for i in range(n) for j in range(i)])
+        rows += [(g, *e) for e in tree]
+        want += [(g, *x) for x in scan(tree)]
+    frame = spark.createDataFrame(rows, "g long, u long, v long, w double")
+    got = sorted((r.g, r.w, r.largest_before, r.largest_after) for r in percolation(frame, scan_edges=8).collect())
+    assert got == sorted(want)
+    assert percolation(frame.limit(0)).count() == 0
+
+
 def test_running_ranks_and_sums(spark):
     frame = spark.range(200).select((F.col("id") % 3).alias("g"), F.col("id"), F.expr("pmod(id * 7919, 101)").alias("x"))
     out = running(frame, ["g"], ["x", "id"], {"s": F.col("x")}).toPandas()
