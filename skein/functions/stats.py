@@ -128,15 +128,15 @@ BLOCK_ROWS = 64
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
-def poisson_draws(seeds: np.ndarray, resamples: int) -> np.ndarray:
-    """Poisson(1) weights, a row for each seed and a column for each resample, the same for a seed whatever the others.
+def poisson_draws(seeds: np.ndarray, resamples: int, first: int = 0) -> np.ndarray:
+    """Poisson(1) weights, a row for each seed and a column for each resample from ``first`` on, the same for a seed whatever the others.
 
     Uniform numbers come from a mixing function of 64 bits over seed and resample.
     """
     # Constants of a common mixing function of 64 bits.
     golden, first, second = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
     with np.errstate(over="ignore"):
-        z = seeds[:, None] + golden * np.arange(1, resamples + 1, dtype=np.uint64)
+        z = seeds[:, None] + golden * np.arange(first + 1, first + resamples + 1, dtype=np.uint64)
         z = (z ^ (z >> np.uint64(30))) * first
         z = (z ^ (z >> np.uint64(27))) * second
         z ^= z >> np.uint64(31)

@@ -9,7 +9,7 @@ from skein.functions import astro
 from skein.functions.ids import BLANKS, canonical_id
 from skein.functions.stats import Z95, bh_qvalues, bootstrap_mean, effect_size, mann_whitney, paired_deltas, robust_scatter, wilson_interval
 from skein.operators.bimodality import bimodality
-from skein.operators.breaks import jenks_two_class, two_line_cdf
+from skein.operators.breaks import break_bootstrap, jenks_two_class, two_line_cdf
 from skein.operators.copies import max_abs_difference
 from skein.operators.mixture import REGULARISATION, Gate, gate_nodes, score_verdicts
 from skein.operators.near import finite
@@ -285,15 +285,35 @@ def _line_sql(n: str, x: str, y: str, xx: str, xy: str, yy: str) -> tuple[str, s
 _LOW = _line_sql("k", "sx", "sy", "sxx", "sxy", "syy")
 _HIGH = _line_sql("(n-k)", "(tx-sx)", "(ty-sy)", "(txx-sxx)", "(txy-sxy)", "(tyy-syy)")
 _ONE = _line_sql("n", "tx", "ty", "txx", "txy", "tyy")
-_TWO_LINE_SQL = f"""WITH {_FINITE}, q AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n, lead(x) OVER w AS nx FROM f WINDOW w AS (PARTITION BY label ORDER BY d, row_index)),
+_LINES = f"""WITH {_FINITE}, q AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY label) AS n, lead(x) OVER w AS nx FROM f WINDOW w AS (PARTITION BY label ORDER BY d, row_index)),
   y AS (SELECT *, k / n AS y FROM q),
   o AS (SELECT *, {", ".join(f"sum({e}) OVER w AS s{a}, sum({e}) OVER (PARTITION BY label) AS t{a}" for a, e in (("x", "d"), ("y", "y"), ("xx", "d*d"), ("xy", "d*y"), ("yy", "y*y")))} FROM y WINDOW w AS (PARTITION BY label ORDER BY k ROWS UNBOUNDED PRECEDING)),
   e AS (SELECT *, {_LOW[2]} + {_HIGH[2]} AS sse, {_ONE[2]} AS one, {_LOW[0]} AS b1, {_LOW[1]} AS a1, {_HIGH[0]} AS b2, {_HIGH[1]} AS a2,
        CASE WHEN n < 40 THEN greatest(2, n // 4) ELSE 20 END AS seg, min(x) OVER (PARTITION BY label) AS lo, max(x) OVER (PARTITION BY label) AS hi FROM o WHERE k < n),
   b AS (SELECT *, x - d + (a2 - a1) / nullif(b1 - b2, 0) AS meet, row_number() OVER (PARTITION BY label ORDER BY round(sse / tyy, 12), k) AS nth FROM e WHERE k >= seg AND n - k >= seg)
+"""
+_TWO_LINE_SQL = f"""{_LINES}
   SELECT label, n, round(CASE WHEN meet BETWEEN lo AND hi THEN meet ELSE (x + nx) / 2 END, 6) AS threshold, k AS n_low, round(1 - sse / one, 6) AS improvement FROM b WHERE nth = 1"""
 
 
+def two_line_fits(spark, sf_dir):
+    """All that the two-line fit tells of each label's reddening."""
+    out = two_line_cdf(stars(spark, sf_dir), ["label"], "reddening_mag", "row_index")
+    return out.select("label", "n", "method", "n_low", "min_segment", *(r(c).alias(c) for c in ("slope_low", "intercept_low", "slope_high", "intercept_high", "sse_two", "sse_one", "x_low", "x_high")))
+
+
+_FITS_SQL = f"""{_LINES}
+  SELECT label, n, CASE WHEN meet BETWEEN lo AND hi THEN 'line_intersection' ELSE 'midpoint_at_best_split' END AS method, k AS n_low, seg AS min_segment, round(b1, 6) AS slope_low, round(a1 - b1 * (x - d), 6) AS intercept_low,
+    round(b2, 6) AS slope_high, round(a2 - b2 * (x - d), 6) AS intercept_high, round(sse, 6) AS sse_two, round(one, 6) AS sse_one, round(x, 6) AS x_low, round(nx, 6) AS x_high FROM b WHERE nth = 1"""
+
+
+def break_bootstrap_by_label(spark, sf_dir):
+    """How far both kinds of break of each label's reddening move over 200 resamples."""
+    s = stars(spark, sf_dir)
+    line, jenks = (break_bootstrap(s, ["label"], "reddening_mag", "row_index", kind=kind).withColumn("kind", F.lit(kind)) for kind in ("two_line", "jenks"))
+    return line.unionByName(jenks)
+
+
 def scatter_by_label(spark, sf_dir):
     """Robust scatter of each label's reddening and its effect size against the background."""
     s = robust_scatter(stars(spark, sf_dir), ["label"], "reddening_mag")
@@ -538,7 +558,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, overlap_resolution, realisation_summary, retention,
-        group_boxes, coverage_gate, jenks_by_label, two_line_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
+        group_boxes, coverage_gate, jenks_by_label, two_line_by_label, two_line_fits, break_bootstrap_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
         purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, stage1_scales, refined_s3_s2, refined_s2_s3_passes, gate_reddening, order_scores, order_summary, level_means,
     )
 }
@@ -560,6 +580,7 @@ SQL = {
     "coverage_gate": _COVERAGE_SQL,
     "jenks_by_label": _JENKS_SQL,
     "two_line_by_label": _TWO_LINE_SQL,
+    "two_line_fits": _FITS_SQL,
     "scatter_by_label": _SCATTER_SQL,
     "mann_whitney_by_survey": _MANN_SQL,
     "noise_sweep": _noise_sql(),

@@ -1,10 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators.breaks import jenks_two_class, two_line_cdf
+from skein.functions.stats import poisson_draws
+from skein.operators.breaks import break_bootstrap, jenks_two_class, two_line_cdf
 from skein.operators.graph import coherence_threshold, connected_components, forest_scan, grouped_components, percolation, percolation_limit, spanning_forest
 from skein.operators.running import running
 
@@ -142,3 +144,80 @@ def test_small_groups_in_tasks_and_large_ones_as_tables_agree(spark):
     assert forest_scan(frame.limit(0)).count() == 0 and grouped_components(frame.limit(0)).count() == 0
     rows = [(w, after) for g, _, _, _, w, _, after in one if g == 0]
     assert {r.g: r.threshold for r in coherence_threshold(forest_scan(frame)).collect()}[0] == min(w for w, after in rows if after >= 24)
+
+
+def two_lines(x, min_segment=20):
+    """Two-line fit of sorted values by least squares of every split."""
+    n = len(x)
+    if n < 4:
+        return float(np.median(x)), None
+    segment = min_segment if n >= 2 * min_segment else max(2, n // 4)
+    y = np.arange(1, n + 1) / n
+
+    def line(at, to):
+        slope = 0.0 if np.ptp(x[at:to]) == 0 else np.polyfit(x[at:to], y[at:to], 1)[0]
+        cut = y[at:to].mean() - slope * x[at:to].mean()
+        return slope, cut, ((y[at:to] - cut - slope * x[at:to]) ** 2).sum()
+
+    fits = [(round((line(0, k)[2] + line(k, n)[2]) / (y * y).sum(), 12), k) for k in range(segment, n - segment + 1)]
+    k = min(fits)[1]
+    (b1, a1, _), (b2, a2, _) = line(0, k), line(k, n)
+    meet = (a2 - a1) / (b1 - b2) if b1 != b2 else math.nan
+    return (meet if x[0] <= meet <= x[-1] else (x[k - 1] + x[k]) / 2), (k, b1, a1, b2, a2, line(0, k)[2] + line(k, n)[2], line(0, n)[2])
+
+
+def natural_break(x):
+    if len(x) < 4 or np.ptp(x) == 0:
+        return float(np.median(x))
+    inside = lambda part: ((part - part.mean()) ** 2).sum()
+    k = min((round((inside(x[:k]) + inside(x[k:])) / ((x - x.mean()) ** 2).sum(), 11), k) for k in range(2, len(x) - 1))[1]
+    return (x[k - 1] + x[k]) / 2
+
+
+def break_rows():
+    rnd = np.random.default_rng(7)
+    groups = {"a": np.concatenate([rnd.exponential(0.2, 90), 1 + rnd.exponential(1.0, 60)]), None: rnd.normal(5, 1, 30), "few": np.array([1.0, 2.0, 4.0]), "one": np.array([3.5])}
+    return [(k, float(v), 1000 * i + j) for i, (k, values) in enumerate(groups.items()) for j, v in enumerate(values)]
+
+
+def test_two_line_result_is_whole(spark):
+    rows = break_rows()
+    frame = spark.createDataFrame([*rows, ("a", math.nan, -1), ("a", None, -2), ("a", math.inf, -3)], "k string, v double, id long")
+    got = {r.k: r for r in two_line_cdf(frame, ["k"], "v", "id").collect()}
+    for k, row in got.items():
+        x = np.sort([v for key, v, _ in rows if key == k])
+        threshold, fit = two_lines(x)
+        assert row.n == len(x) and row.threshold == pytest.approx(threshold)
+        if fit is None:
+            assert (row.method, row.n_low, row.sse_two, row.min_segment) == ("median_fallback", max(1, len(x) // 2), None, 2)
+            continue
+        assert (row.n_low, row.slope_low, row.intercept_low, row.slope_high, row.intercept_high, row.sse_two, row.sse_one) == pytest.approx(fit)
+        assert (row.x_low, row.x_high) == (x[row.n_low - 1], x[row.n_low])
+        assert row.method == ("line_intersection" if not math.isclose(threshold, (row.x_low + row.x_high) / 2) else "midpoint_at_best_split")
+        assert row.min_segment == (20 if len(x) >= 40 else max(2, len(x) // 4))
+
+
+@pytest.mark.parametrize("kind", ["two_line", "jenks"])
+def test_break_bootstrap_equals_brute_force(spark, kind):
+    resamples = 12
+    rows = break_rows()
+    frame = spark.createDataFrame([*rows, ("a", math.nan, -1), ("nothing", None, -2)], "k string, v double, id long")
+    seeds = {r.id: r.s for r in frame.select("id", F.xxhash64("id", F.lit(12345)).alias("s")).collect()}
+    got = {r.k: r for r in break_bootstrap(frame, ["k"], "v", "id", kind=kind, resamples=resamples).collect()}
+    again = {r.k: r for r in break_bootstrap(frame.repartition(7), ["k"], "v", "id", kind=kind, resamples=resamples).collect()}
+    assert set(got) == {"a", None, "few", "one"}
+    for k, row in got.items():
+        mine = sorted((v, i) for key, v, i in rows if key == k)
+        weights = poisson_draws(np.array([seeds[i] for _, i in mine]).astype(np.uint64), resamples).astype(int)
+        cuts = []
+        for b in range(resamples):
+            x = np.repeat([v for v, _ in mine], weights[:, b])
+            if len(x):
+                cuts.append(two_lines(x)[0] if kind == "two_line" else natural_break(x))
+        assert (row.n, row.resamples) == (len(mine), len(cuts))
+        assert (row.mean, row.p16, row.p50, row.p84) == pytest.approx((np.mean(cuts), *np.percentile(cuts, [16, 50, 84])), rel=1e-6)
+        assert row.sd == pytest.approx(np.std(cuts, ddof=1), rel=1e-5, abs=1e-9)
+        assert again[k].mean == pytest.approx(row.mean)
+    assert break_bootstrap(frame.limit(0), ["k"], "v", "id", kind=kind).count() == 0
+    with pytest.raises(ValueError):
+        break_bootstrap(frame, ["k"], "v", "id", kind="else")
