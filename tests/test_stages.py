@@ -4,6 +4,7 @@ import pytest
 
 from skein.operators.mixture import Gate, fit_one, fit_two, gate_nodes
 from skein.operators.mixture import score_verdicts
+from skein.plans.analysis import analyse, write_analysis
 from skein.plans.orders import order_aggregate, paired_orders, paired_scores
 from skein.plans.refine import REDDENING_ONLY_ENDS, membership, numbered_leaves, pipeline, refine, refine_shared_parent, seed_nodes
 from skein.plans.stage1 import Stage1, groups_at_radius, spatial_groups
@@ -218,3 +219,55 @@ def test_both_orders_are_paired(spark, nodes):
     twice = twice.toDF(*(c.removesuffix("_forward") for c in twice.columns))
     with pytest.raises(ValueError):
         paired_scores(twice.unionByName(twice), twice)
+
+
+@pytest.fixture(scope="module")
+def analysed(spark):
+    rows = planted()
+    dirty = [(200, 0, None, 0.0, 0.0, 1.0, 0.0, 0.0), (201, 0, float("inf"), 0.0, 0.0, 1.0, 0.0, 0.0), (202, None, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0), (203, 0, 500.0, 500.0, 500.0, 1.0, 0.0, 0.0), (204, 7, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0)]
+    frame = spark.createDataFrame([*rows, rows[0], *dirty], SCHEMA)
+    gates = [Gate(("av",)), Gate(("vl", "vb"))]
+    return frame, gates, analyse(frame, "id", "g", AT, gates)
+
+
+def test_whole_analysis(analysed):
+    frame, _, done = analysed
+    members = done.membership.toPandas().set_index("id")
+    assert len(members) == 104 and members.index.is_unique
+    assert list(members.loc[[200, 201], "status"]) == ["not_placed"] * 2 and members.loc[203, "status"] == members.loc[204, "status"] == "stage1_field"
+    seen = frame.where("g = 0 and id < 200").dropDuplicates(["id"]).toPandas().set_index("id")
+    groups = done.groups.toPandas()
+    grouped = members[members["stage3_group_id"] > 0]
+    assert sorted(groups["group_id"]) == list(range(1, len(groups) + 1)) and groups["n_members"].sum() == len(grouped)
+    for row in groups.itertuples():
+        mine = seen.loc[grouped.index[grouped["stage3_group_id"] == row.group_id]]
+        assert row.n_members == len(mine) and row.node == members.loc[mine.index[0], "stage3_node"]
+        assert (row.median_av, row.mean_vl, row.median_vb) == pytest.approx((mine["av"].median(), mine["vl"].mean(), mine["vb"].median()))
+        assert (row.min_x, row.max_z) == (mine["x"].min(), mine["z"].max())
+    field = {r.g: r for r in done.fields.collect()}
+    assert field[0].n_points == 103 and field[7].n_points == 1 and field[7].stage1_groups == 0
+    assert field[0].stage3_members + field[0].stage2_orphans + field[0].stage3_orphans == field[0].stage1_members
+    assert field[0].stage2_splits >= 1 and field[0].stage2_tested >= field[0].stage2_significant >= field[0].stage2_splits
+
+
+def test_node_table_holds_split_nodes_too(analysed):
+    frame, _, done = analysed
+    seen = frame.where("g = 0 and id < 200").dropDuplicates(["id"]).toPandas().set_index("id")
+    first = done.stage1.members.toPandas()
+    nodes = done.nodes.where("stage = 2").toPandas()
+    assert "split" in set(nodes["status"])
+    for row in nodes[nodes["generation"] == 0].itertuples():
+        mine = seen.loc[first["id"][first["group_id"] == row.root]]
+        assert row.n == len(mine) and (row.median_av, row.mean_av) == pytest.approx((mine["av"].median(), mine["av"].mean()))
+
+
+def test_analysis_is_written_and_empty_is_empty(spark, analysed, tmp_path):
+    frame, gates, done = analysed
+    write_analysis(done, str(tmp_path / "out"), gates)
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "membership")).count() == 104
+    assert {p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")} == {"membership", "final_groups", "nodes", "fields", "scales", *(f"stage{n}_{x}" for n in (2, 3) for x in ("splits", "passes", "orphans")), "config.json", "summary.txt"}
+    assert "n points: 104" in (tmp_path / "out" / "summary.txt").read_text()
+    empty = analyse(frame.limit(0), "id", "g", AT, gates)
+    assert [x.count() for x in (empty.membership, empty.nodes, empty.groups, empty.fields)] == [0, 0, 0, 0]
+    plain = analyse(frame, "id", "g", AT, [], observables=["av"])
+    assert plain.groups.agg({"n_members": "sum"}).first()[0] == plain.stage1.members.count() and plain.nodes.count() == 0
