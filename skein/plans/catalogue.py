@@ -15,6 +15,7 @@ from skein.operators.mixture import REGULARISATION, Gate, gate_nodes, score_verd
 from skein.operators.near import finite
 from skein.operators.running import rank_quantile, running
 from skein.operators.score import best_match, better_equal_worse, field_summary, fragments_and_merges, resolution_flags, retention_agreement
+from skein.plans.analysis import analyse
 from skein.plans.noise import with_levels
 from skein.plans.orders import order_aggregate, paired_orders
 from skein.plans.refine import numbered_leaves, pipeline, seed_nodes
@@ -537,6 +538,27 @@ def order_summary(spark, sf_dir):
     return order_aggregate(_both_orders(spark, sf_dir).fields)
 
 
+def _analysis(spark, sf_dir):
+    return analyse(table(spark, sf_dir, "stars"), "row_index", "realisation", AT, [Gate(("reddening_mag",)), Gate(("vl_lsr_kms", "vb_lsr_kms"))])
+
+
+def final_groups(spark, sf_dir):
+    """The groups after all stages, with their observables and boxes."""
+    return _analysis(spark, sf_dir).groups
+
+
+def analysis_counts(spark, sf_dir):
+    """Star records of each realisation in the whole analysis, and whether grouped, orphaned, field and unplaced ones add up to them."""
+    parts = ("n_field", "n_not_placed", "stage3_members", "stage2_orphans", "stage3_orphans")
+    counts = _analysis(spark, sf_dir).fields
+    return counts.select(F.col("g").alias("realisation"), "n_points", "n_not_placed", (sum((F.col(c) for c in parts), F.lit(0)) == F.col("n_points")).alias("adds_up"))
+
+
+# SQL counts the records; that they add up is what the query must show
+_ANALYSIS_SQL = f"""WITH {_S} SELECT realisation, count(*) AS n_points, count(*) FILTER (NOT coalesce(isfinite(x_pc) AND isfinite(y_pc) AND isfinite(z_pc), false)) AS n_not_placed, true AS adds_up
+  FROM s WHERE realisation IS NOT NULL GROUP BY realisation"""
+
+
 def level_means(spark, sf_dir):
     """Mean scores of each noise level and their differences from the first level in order."""
     q = runs(spark, sf_dir).where("sigma_milli is not null")
@@ -559,7 +581,7 @@ QUERIES = {
     for f in (
         canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, overlap_resolution, realisation_summary, retention,
         group_boxes, coverage_gate, jenks_by_label, two_line_by_label, two_line_fits, break_bootstrap_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
-        purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, stage1_scales, refined_s3_s2, refined_s2_s3_passes, gate_reddening, order_scores, order_summary, level_means,
+        purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, stage1_scales, refined_s3_s2, refined_s2_s3_passes, gate_reddening, order_scores, order_summary, final_groups, analysis_counts, level_means,
     )
 }
 
@@ -595,5 +617,6 @@ SQL = {
     "unscored_runs": "SELECT DISTINCT realisation FROM run_metadata WHERE realisation IS NOT NULL AND realisation NOT IN (SELECT realisation FROM s3_runs WHERE realisation IS NOT NULL)",
     "placed_stars": _PLACED_SQL,
     "gate_reddening": _GATE_SQL,
+    "analysis_counts": _ANALYSIS_SQL,
     "level_means": _LEVEL_SQL,
 }
