@@ -14,7 +14,7 @@ from skein.operators.copies import max_abs_difference
 from skein.operators.mixture import REGULARISATION, Gate, gate_nodes, score_verdicts
 from skein.operators.near import finite
 from skein.operators.running import rank_quantile, running
-from skein.operators.score import best_match, better_equal_worse, field_summary, fragments_and_merges, resolution_flags, retention_agreement
+from skein.operators.score import best_match, better_equal_worse, field_summary, fragments_and_merges, pieces_summary, resolution_flags, retention_agreement
 from skein.plans.analysis import analyse
 from skein.plans.noise import with_levels
 from skein.plans.orders import order_aggregate, paired_orders
@@ -181,6 +181,12 @@ _FRAGMENTS_SQL = f"""{_SCORES}, fr AS (SELECT ov.g, ov.label, count(*) FILTER (o
   FROM fl LEFT JOIN fr ON fl.g = fr.g AND fl.label = fr.label LEFT JOIN me ON fl.g = me.g AND fl.label = me.label"""
 
 
+def fragment_means(spark, sf_dir):
+    """Mean fragments and merged labels of each realisation."""
+    s = pieces_summary(fragment_counts(spark, sf_dir))
+    return s.withColumns({c: r(c) for c in ("mean_fragment_count", "mean_n_merged")})
+
+
 def overlap_resolution(spark, sf_dir):
     return resolution_flags(best_match(_groups(spark, sf_dir), _truth(spark, sf_dir)), "template_01", "template_02")
 
@@ -366,11 +372,11 @@ def _noise_sql() -> str:
 # --- run scores
 
 
-def runs(spark, sf_dir, name="s3_runs"):
-    """The latest row of each realisation and noise level (in thousandths); a missing level is one of its own."""
+def runs(spark, sf_dir, name="s3_runs", more=()):
+    """The latest row of each realisation and noise level (in thousandths); a missing level is one of its own.  ``more`` columns are taken along."""
     sigma = F.col("velocity_error_sigma_kms")
     raw = table(spark, sf_dir, name).where("realisation is not null").withColumn("sigma_milli", F.when(finite(sigma), F.round(sigma * 1000).cast("long")))
-    columns = ["condition", "mean_completeness", "mean_purity", "mean_jaccard", "strict_recoveries_of_8", "s3_accepted_splits", "s3_orphans", "formal_overlap_resolved"]
+    columns = ["condition", "mean_completeness", "mean_purity", "mean_jaccard", "strict_recoveries_of_8", "s3_accepted_splits", "s3_orphans", "formal_overlap_resolved", *more]
     best = raw.groupBy("realisation", "sigma_milli").agg(F.max(F.struct("loaded_at", *columns)).alias("b"))
     return best.select("realisation", "sigma_milli", *(F.col(f"b.{c}").alias(c) for c in columns))
 
@@ -416,6 +422,22 @@ _DELTAS = f"""{_RUNS}, z AS (SELECT realisation, completeness AS c0, purity AS p
   d AS (SELECT sigma_milli, completeness - c0 AS dc, purity - p0 AS dp, jaccard - j0 AS dj, strict - s0 AS ds, CAST(formal AS INTEGER) - f0 AS df FROM q LEFT JOIN z USING (realisation))"""
 
 
+PAIRED = [*METRICS, "mean_fragment_count", "strict_recoveries_of_8", "formal_overlap_resolved", "overlap_best_groups_separate", "s3_accepted_splits", "s3_orphans"]
+
+
+def paired_delta_metrics(spark, sf_dir):
+    """Mean difference from the noiseless run of nine metrics at each noise level; true counts 1."""
+    d = paired_deltas(runs(spark, sf_dir, more=("mean_fragment_count", "overlap_best_groups_separate")), "realisation", F.col("sigma_milli") == 0, PAIRED)
+    return d.groupBy("sigma_milli").agg(F.count("*").alias("n"), *(f for m in PAIRED for f in (F.count(f"delta_{m}").alias(f"n_{m}"), r(F.avg(f"delta_{m}")).alias(f"delta_{m}"))))
+
+
+_PAIRED_SQL = f"""WITH q AS (SELECT realisation, sigma_milli, {", ".join(f"CASE WHEN NOT isnan(CAST({m} AS DOUBLE)) THEN CAST({m} AS DOUBLE) END AS {m}" for m in PAIRED)}
+  FROM (SELECT *, row_number() OVER (PARTITION BY realisation, sigma_milli ORDER BY loaded_at DESC) AS nth
+    FROM (SELECT *, CASE WHEN isfinite(velocity_error_sigma_kms) THEN CAST(round(velocity_error_sigma_kms * 1000) AS BIGINT) END AS sigma_milli FROM s3_runs WHERE realisation IS NOT NULL)) WHERE nth = 1)
+  SELECT q.sigma_milli, count(*) AS n, {", ".join(f"count(q.{m} - z.{m}) AS n_{m}, round(avg(q.{m} - z.{m}), 6) AS delta_{m}" for m in PAIRED)}
+  FROM q LEFT JOIN (SELECT * FROM q WHERE sigma_milli = 0) z ON z.realisation = q.realisation GROUP BY q.sigma_milli"""
+
+
 def better_or_worse(spark, sf_dir):
     d = _deltas(spark, sf_dir).where("sigma_milli > 0")
     return better_equal_worse(d, ["delta_mean_jaccard", "delta_mean_purity", "delta_strict_recoveries_of_8"])
@@ -579,8 +601,8 @@ _LEVEL_SQL = f"""WITH {_RUNS}, m AS (SELECT sigma_milli, count(*) AS n, avg(comp
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, overlap_resolution, realisation_summary, retention,
-        group_boxes, coverage_gate, jenks_by_label, two_line_by_label, two_line_fits, break_bootstrap_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, better_or_worse, wilson_rates, archive_gaps,
+        canonical_ids, kinematic_projection, frame_rotation, kinematics_match, field_stars, linked_stars, components_at_radius, best_match_scores, fragment_counts, fragment_means, overlap_resolution, realisation_summary, retention,
+        group_boxes, coverage_gate, jenks_by_label, two_line_by_label, two_line_fits, break_bootstrap_by_label, scatter_by_label, mann_whitney_by_survey, bimodality_by_label, noise_sweep, condition_means, headline, paired_delta_means, paired_delta_metrics, better_or_worse, wilson_rates, archive_gaps,
         purity_qvalues, bootstrap_deltas, velocity_grid, unscored_runs, placed_stars, stage1_scales, refined_s3_s2, refined_s2_s3_passes, gate_reddening, order_scores, order_summary, final_groups, analysis_counts, level_means,
     )
 }
@@ -595,6 +617,7 @@ SQL = {
     "components_at_radius": f"{_GROUPS} SELECT g AS realisation, id AS row_index, group_id, group_rows FROM m",
     "best_match_scores": f"{_SCORES} SELECT g, label, true_size, best_group, overlap, best_size, round(completeness, 9) AS completeness, round(purity, 9) AS purity, round(jaccard, 9) AS jaccard, detected, strict FROM fl",
     "fragment_counts": _FRAGMENTS_SQL,
+    "fragment_means": f"SELECT g, count(*) AS n_labels, round(avg(fragment_count), 6) AS mean_fragment_count, round(avg(n_merged), 6) AS mean_n_merged FROM ({_FRAGMENTS_SQL}) GROUP BY g",
     "overlap_resolution": _RESOLUTION_SQL,
     "realisation_summary": f"{_SCORES} SELECT g, count(*) AS n_labels, round(avg(completeness), 6) AS mean_completeness, round(avg(purity), 6) AS mean_purity, round(avg(jaccard), 6) AS mean_jaccard, count(*) FILTER (strict) AS strict_recoveries FROM fl GROUP BY g",
     "retention": _RETENTION_SQL,
@@ -609,6 +632,7 @@ SQL = {
     "condition_means": _CONDITION_SQL,
     "headline": f"WITH {_RUNS} SELECT sigma_milli, round(avg(jaccard), 6) AS mean_jaccard, round(avg(strict), 6) AS mean_strict FROM q WHERE sigma_milli IN (500, 1000) GROUP BY sigma_milli",
     "paired_delta_means": f"WITH {_DELTAS} SELECT sigma_milli, count(dj) AS n, round(avg(dc), 6) AS delta_mean_completeness, round(avg(dp), 6) AS delta_mean_purity, round(avg(dj), 6) AS delta_mean_jaccard, round(avg(df), 6) AS delta_formal_overlap_resolved FROM d GROUP BY sigma_milli",
+    "paired_delta_metrics": _PAIRED_SQL,
     "better_or_worse": _BETTER_SQL,
     "wilson_rates": _WILSON_SQL,
     "archive_gaps": _ARCHIVE_SQL,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,12 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def read_typed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with header and a stated schema (DDL), columns by name, whatever their order and number in the file; cells that don't fit are null."""
+    text, wanted = read_catalogue(spark, path), T.StructType.fromDDL(schema)
+    return text.select(*(F.trim(text[f"`{find_column(text, f.name)}`"]).try_cast(f.dataType).alias(f.name) for f in wanted))
+
+
 def load_points(raw: DataFrame, row_index: str | None = None) -> DataFrame:
     """``row_index``, ``source_id``, ``x_pc``, ``y_pc``, ``z_pc``, ``reddening_mag`` and what else is there.
 
@@ -128,6 +136,8 @@ def kinematics(raw: DataFrame, base: DataFrame | None = None, frame: str = "lsr"
 
 RUN = r"(?i)mc_(\d+)"
 UNNUMBERED = 10**9
+#: Rows of a run's CSV handed on together.
+PIECE_LINES = 10_000
 
 
 def run_number(path: Column) -> Column:
@@ -136,14 +146,23 @@ def run_number(path: Column) -> Column:
     return F.when(found == "", F.lit(UNNUMBERED)).otherwise(found.try_cast("long"))
 
 
-def run_files(spark: SparkSession, root: str, name: str, start: int = 0, end: int = UNNUMBERED) -> DataFrame:
+def _folder(path: Column) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
+
+
+def run_files(spark: SparkSession, root: str, name: str, start: int = 0, end: int = UNNUMBERED, beside: tuple[str, ...] = ()) -> DataFrame:
     """``realisation``, ``path``, ``content`` of the file ``name`` in each run folder, else in each run zip.
 
     A run must hold exactly one file of that name.  Folders win over zips.
-    Only runs with ``start`` <= number < ``end`` are read.
+    Only runs with ``start`` <= number < ``end`` are read.  A folder counts only
+    if it holds the files ``beside`` too.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     folders = reader.option("pathGlobFilter", name).load(root).select(run_number(F.col("path")).alias("realisation"), "path", "content").where("path rlike '(?i)/mc_[^/]*/'")
+    for other in beside:
+        # only the listing is read, not the contents
+        there = reader.option("pathGlobFilter", other).load(root).select(_folder(F.col("path")).alias("__at"))
+        folders = folders.withColumn("__at", _folder(F.col("path"))).join(there, "__at", "left_semi").drop("__at")
     if not folders.take(1):
         zips = reader.option("pathGlobFilter", "mc_*.zip").load(root).select(run_number(F.col("path")).alias("realisation"), "path", "content")
 
@@ -166,18 +185,23 @@ def run_files(spark: SparkSession, root: str, name: str, start: int = 0, end: in
     return wanted
 
 
-def read_run_json(spark: SparkSession, root: str, name: str, schema: str, **window: int) -> DataFrame:
+def read_run_json(spark: SparkSession, root: str, name: str, schema: str, **window) -> DataFrame:
     return run_files(spark, root, name, **window).select("realisation", F.from_json(F.col("content").cast("string"), schema).alias("r")).select("realisation", *(f"r.{f}" for f in T.StructType.fromDDL(schema).names if f != "realisation"))
 
 
-def read_run_csv(spark: SparkSession, root: str, name: str, **window: int) -> DataFrame:
-    """Rows of each run's CSV as ``realisation``, ``line`` (0, 1 ...) and ``cells``, a map from column to text."""
+def read_run_csv(spark: SparkSession, root: str, name: str, **window) -> DataFrame:
+    """Rows of each run's CSV as ``realisation``, ``line`` (0, 1 ...) and ``cells``, a map from column to text.
+
+    Cells that a short row lacks are empty, those beyond the header are left
+    out.  A file is handed on in pieces, never as one table.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                table = pd.read_csv(io.BytesIO(r.content), dtype=str, keep_default_na=False)
-                yield pd.DataFrame({"realisation": r.realisation, "line": range(len(table)), "cells": table.to_dict("records")})
+                lines = enumerate(csv.DictReader(io.TextIOWrapper(io.BytesIO(r.content), encoding="utf-8-sig", newline=""), restval=""))
+                while piece := list(islice(lines, PIECE_LINES)):
+                    yield pd.DataFrame({"realisation": r.realisation, "line": [n for n, _ in piece], "cells": [{k: v for k, v in row.items() if k is not None} for _, row in piece]})
 
     return run_files(spark, root, name, **window).mapInPandas(parse, "realisation long, line int, cells map<string,string>")
 

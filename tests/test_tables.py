@@ -67,6 +67,25 @@ def test_runs_from_folders_and_zips(spark, tmp_path):
         t.read_run_csv(spark, str(tmp_path / "zips"), "absent.csv").collect()
 
 
+def test_runs_need_the_files_beside_and_hand_lines_on(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(t, "PIECE_LINES", 2)
+    for n, names in ((1, ("DONE.json", "placements.csv")), (2, ("placements.csv",))):
+        folder = tmp_path / f"mc_{n:04d}"
+        folder.mkdir()
+        for name in names:
+            (folder / name).write_text("{}" if name == "DONE.json" else 'label,note\na,"two\nlines"\nb\nc,x,beyond\n\nd,\n')
+    both = t.read_run_csv(spark, str(tmp_path), "placements.csv").groupBy("realisation").count().collect()
+    assert {(r[0], r[1]) for r in both} == {(1, 4), (2, 4)}
+    rows = t.read_run_csv(spark, str(tmp_path), "placements.csv", beside=("DONE.json",)).orderBy("line").collect()
+    assert [(r.realisation, r.line, r.cells) for r in rows] == [(1, 0, {"label": "a", "note": "two\nlines"}), (1, 1, {"label": "b", "note": ""}), (1, 2, {"label": "c", "note": "x"}), (1, 3, {"label": "d", "note": ""})]
+
+
+def test_typed_catalogue(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("v,ID,other\n1.5,000123,x\nbad, 7 ,y\n,,\n")
+    rows = t.read_typed(spark, str(tmp_path / "c.csv"), "id bigint, v double").collect()
+    assert [(r.id, r.v) for r in rows] == [(123, 1.5), (7, None), (None, None)]
+
+
 def test_sinks_and_resume(spark, tmp_path):
     frame = spark.range(4).selectExpr("id realisation", "id * 2 v")
     t.write_result(frame, str(tmp_path / "o"), form="csv", gzip=True)
