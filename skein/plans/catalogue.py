@@ -310,7 +310,7 @@ def two_line_fits(spark, sf_dir):
 
 
 _FITS_SQL = f"""{_LINES}
-  SELECT label, n, CASE WHEN meet BETWEEN lo AND hi THEN 'line_intersection' ELSE 'midpoint_at_best_split' END AS method, k AS n_low, seg AS min_segment, round(b1, 6) AS slope_low, round(a1 - b1 * (x - d), 6) AS intercept_low,
+  SELECT label, n, CASE WHEN meet BETWEEN lo AND (SELECT max(f.x) FROM f WHERE f.label IS NOT DISTINCT FROM b.label) THEN 'line_intersection' ELSE 'midpoint_at_best_split' END AS method, k AS n_low, seg AS min_segment, round(b1, 6) AS slope_low, round(a1 - b1 * (x - d), 6) AS intercept_low,
     round(b2, 6) AS slope_high, round(a2 - b2 * (x - d), 6) AS intercept_high, round(sse, 6) AS sse_two, round(one, 6) AS sse_one, round(x, 6) AS x_low, round(nx, 6) AS x_high FROM b WHERE nth = 1"""
 
 
