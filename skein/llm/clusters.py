@@ -24,13 +24,10 @@ class MarkovClustering:
     Two records are similar if they are within ``radius`` in space and
     ``spread`` in the extra value; the similarity falls as a normal curve
     of width ``radius`` / 4 in space and ``spread`` / 2 in the extra value.
-    Records similar to fewer than ``least_similar`` others are too sparse to
-    be grouped: each is a cluster of its own and gives no flow to others.
     """
 
     radius: float = 8.0
     spread: float = 0.5
-    least_similar: int = 9
     inflation: float = 2.0
     prune: float = 1e-4
     settled: float = 1e-6
@@ -54,13 +51,13 @@ def clean_records(points: DataFrame, ident: str, group: str, coords: list[str],
     return clean.where(good)
 
 
-def dense_records(clean: DataFrame, p: MarkovClustering, scratch: Scratch) -> DataFrame:
-    """The records, each once, that are similar to at least ``least_similar`` others."""
+def linked_records(clean: DataFrame, p: MarkovClustering, scratch: Scratch) -> DataFrame:
+    """The records, each once, that are similar to another: all that the matrix ties to anything."""
     pairs = pairs_between(clean, clean, "id", "id", ["x", "y", "z"], p.radius, group="g", carry=tuple(AT), condition=F.abs(F.col("extra_a") - F.col("extra_b")) <= p.spread)
     counted = pairs.groupBy("group_key", "id_a", *(f"{c}_a" for c in AT)).agg(F.count("*").alias("similar"))
     # a record meets itself once
-    kept = counted.where(F.col("similar") > p.least_similar).toDF("g", "id", *AT, "similar")
-    return scratch.keep(kept.drop("similar"), "dense")
+    kept = counted.where("similar > 1").toDF("g", "id", *AT, "similar")
+    return scratch.keep(kept.drop("similar"), "linked")
 
 
 def distinct_places(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -198,9 +195,9 @@ def markov_clusters(points: DataFrame, ident: str, group: str, coords: list[str]
 
     Alternates squaring, inflation and pruning of the column-stochastic
     similarity matrix until it is settled; each column's strongest attractor,
-    followed to the end, defines its cluster.  Every record is in exactly one
-    cluster, a sparse one (``least_similar``) in one of its own; ``sparse=False``
-    leaves those out of the result.  The matrix falls into diagonal blocks
+    followed to the end, defines its cluster.  Every similar pair counts, and
+    every record is in exactly one cluster, one without a similar other in one
+    of its own; ``sparse=False`` leaves those out of the result.  The matrix falls into diagonal blocks
     (connected occupied cells): blocks of up to ``block_rows`` places are
     squared inside a task, larger ones as a distributed table, with equal
     results.  Records at one place and with one extra value are one row and
@@ -212,8 +209,8 @@ def markov_clusters(points: DataFrame, ident: str, group: str, coords: list[str]
     """
     scratch = Scratch(points.sparkSession, "clusters")
     clean = clean_records(points, ident, group, coords, extra)
-    dense = dense_records(clean, p, scratch)
-    places, same = distinct_places(dense, scratch)
+    linked = linked_records(clean, p, scratch)
+    places, same = distinct_places(linked, scratch)
     records = diagonal_blocks(places, p, scratch)
     sizes = records.groupBy("block").agg(F.count("*").alias("rows"))
     large = sizes.where(F.col("rows") > p.block_rows).select("block")
@@ -228,7 +225,7 @@ def markov_clusters(points: DataFrame, ident: str, group: str, coords: list[str]
     named = flows.select(F.col("id").alias("place"), "flow", "settled").join(groups, "place")
     member = same.join(named, "place").select(F.col("g").alias("group_key"), "cluster_id", "id", *AT, "flow", "settled")
     member = scratch.keep(member, "members")
-    scratch.drop(dense, places, records, flows)
+    scratch.drop(linked, places, records, flows)
     if not sparse:
         return member
     alone = clean.join(member.select("id"), "id", "left_anti").distinct()

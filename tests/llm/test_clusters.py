@@ -97,3 +97,9 @@ def test_an_unsettled_matrix_is_reported(spark):
         members = clusters(spark, field(6), max_rounds=1, block_rows=n)
         assert members.where("not settled").count() > 0
         assert describe_clusters(members).where("not settled").count() > 0
+
+
+def test_every_similar_pair_counts(spark):
+    # two records far from all others: each is similar to one only
+    pair = [(3000, 1, 400.0, 0.0, 0.0, 1.0, "", 1), (3001, 1, 401.0, 0.0, 0.0, 1.0, "", 1)]
+    assert frozenset({3000, 3001}) in sets((r.id, r.cluster_id) for r in clusters(spark, field(7) + pair).collect())
