@@ -271,3 +271,21 @@ def test_analysis_is_written_and_empty_is_empty(spark, analysed, tmp_path):
     assert [x.count() for x in (empty.membership, empty.nodes, empty.groups, empty.fields)] == [0, 0, 0, 0]
     plain = analyse(frame, "id", "g", AT, [], observables=["av"])
     assert plain.groups.agg({"n_members": "sum"}).first()[0] == plain.stage1.members.count() and plain.nodes.count() == 0
+
+
+def test_stage1_in_a_task_and_as_tables_agree(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(g * 1000 + k, g, *(rnd.gauss(c, 1.5) if k % 3 else rnd.uniform(0, 60) for c in ((10, 10, 10), (40, 40, 40))[k % 2])) for g, n in ((1, 200), (2, 90), (3, 2), (4, 1)) for k in range(n)]
+    rows += [(9000 + k, 5, 1.0, 1.0, 1.0) for k in range(3)]
+    frame = spark.createDataFrame(rows, "id long, g long, x double, y double, z double")
+
+    def found(most):
+        s = spatial_groups(frame, "id", "g", ["x", "y", "z"], task_points=most)
+        return [sorted(t.select(*columns).collect()) for t, columns in ((s.members, ("g", "id", "group_id", "group_rows")), (s.forest, ("g", "u", "v", "w")))], sorted(((r.g, r.n, r.limit, r.cut, r.edges_used) for r in s.scales.collect()), key=lambda r: r[0])
+
+    whole = found(1000)
+    assert whole[0][0] and len(whole[1]) == 5
+    assert found(0) == whole
+    # too many edges for a task: the field goes on as tables, its parts thinned first
+    monkeypatch.setattr("skein.plans.stage1.SCAN_EDGES", 100)
+    assert found(1000) == whole
