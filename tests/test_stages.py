@@ -289,3 +289,21 @@ def test_stage1_in_a_task_and_as_tables_agree(spark, monkeypatch):
     # too many edges for a task: the field goes on as tables, its parts thinned first
     monkeypatch.setattr("skein.plans.stage1.SCAN_EDGES", 100)
     assert found(1000) == whole
+
+
+def test_refinement_in_a_task_and_as_tables_agrees(spark, nodes, monkeypatch):
+    members, scales = nodes
+
+    def found(gate, policy, most):
+        done = refine(members, scales, gate, policy=policy, task_rows=most)
+        exact = [sorted(map(str, getattr(done, t).select(*c).collect())) for t, c in (("members", ("g", "node", "root", "generation", "id", "x", "av", "vl")), ("nodes", ("node", "n", "n_observed", "n_low", "n_high", "passed", "reason", "g", "root", "generation", "rows_0", "rows_1", "parts_0", "parts_1", "orphans_n", "status", "pass")), ("splits", ("pass", "node", "rows_0", "sizes_0", "sizes_1", "accepted", "rejected_as", "status", "child_ids")), ("passes", ("pass", "clusters_tested", "significant_bimodality", "accepted_splits", "new_children")), ("orphans", ("g", "id", "root", "parent", "pass", "reason")))]
+        numbers = [c for c, kind in done.nodes.dtypes if kind == "double"]
+        return exact, {r.node: [r[c] for c in numbers] for r in done.nodes.collect()}
+
+    exact, numbers = found(Gate(("av",)), "all", 1000)
+    # too many links for a task: the split node goes on as tables, the other one stays
+    monkeypatch.setattr("skein.plans.refine.SCAN_EDGES", 5)
+    as_tables, theirs = found(Gate(("av",)), "all", 1000)
+    assert exact == as_tables
+    for node, values in numbers.items():
+        assert values == [None if t is None else pytest.approx(t, rel=1e-6, abs=1e-9) for t in theirs[node]]
