@@ -307,3 +307,43 @@ def test_refinement_in_a_task_and_as_tables_agrees(spark, nodes, monkeypatch):
     assert exact == as_tables
     for node, values in numbers.items():
         assert values == [None if t is None else pytest.approx(t, rel=1e-6, abs=1e-9) for t in theirs[node]]
+
+
+def test_fits_side_by_side_are_those_of_each_node():
+    import numpy as np
+
+    from skein.operators.mixture import fits_two, verdicts_in_task
+
+    rng = np.random.default_rng(3)
+    nodes = [np.where(rng.random(n) < 0.4, 0.0, gap)[:, None] + rng.normal(0, 1, (n, 2)) for n, gap in ((12, 6.0), (40, 0.0), (300, 3.0), (10, 50.0))]
+    for dims, gate in ((1, Gate(("v",))), (2, Gate(("v", "w")))):
+        own = [x[:, :dims] for x in nodes] + [np.full((11, dims), 2.0)]
+        for x, got in zip(own, fits_two(own)):
+            alone = fit_two(x)
+            assert got[0] == pytest.approx(alone[0], abs=1e-9) and got[1].shape == (len(x), 2)
+            for a, b in zip(got[1:], alone[1:]):
+                np.testing.assert_allclose(a, b, atol=1e-9)
+        holes = own[0].copy()
+        holes[0] = np.nan
+        reasons = [v["reason"] for v, _ in verdicts_in_task([holes, *own, own[0][:4]], gate)]
+        assert reasons[0].startswith("insufficient") and reasons[-1].startswith("too_few") and reasons[1] == verdicts_in_task([own[0]], gate)[0][0]["reason"]
+
+
+def test_a_field_of_many_edges_is_thinned_as_they_come():
+    import numpy as np
+
+    from skein.operators.graph import forest_of
+    from skein.operators.near import array_pairs
+    from skein.plans.stage1 import thinned_edges
+
+    rng = np.random.default_rng(4)
+    at = np.round(rng.random((300, 3)) * 8)  # many equal lengths
+    ids = rng.permutation(300) * 7
+    a, b = array_pairs(at, 3.0, 10**6)
+    u, v, w = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.sqrt(((at[a] - at[b]) ** 2).sum(axis=1))
+    whole = forest_of(u, v, w)
+    assert len(a) > 4 * 600
+    for hold in (1, 10**6):
+        for got, want in zip(thinned_edges(ids, at, at, 3.0, hold=hold), (u[whole], v[whole], w[whole])):
+            np.testing.assert_array_equal(got, want)
+    assert thinned_edges(ids, at, at, 3.0, most=100) is None
