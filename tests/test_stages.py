@@ -347,3 +347,14 @@ def test_a_field_of_many_edges_is_thinned_as_they_come():
         for got, want in zip(thinned_edges(ids, at, at, 3.0, hold=hold), (u[whole], v[whole], w[whole])):
             np.testing.assert_array_equal(got, want)
     assert thinned_edges(ids, at, at, 3.0, most=100) is None
+
+
+def test_an_analysis_makes_only_what_is_asked_for(spark, monkeypatch):
+    from skein.plans import analysis
+
+    made = []
+    monkeypatch.setattr(analysis, "node_table", lambda *a: made.append("nodes"))
+    rows = [(k, 1, 0.1 * (k % 5), 0.1 * (k // 5 % 5), 0.1 * (k // 25), 1.0) for k in range(50)]
+    frame = spark.createDataFrame(rows, "id long, g long, x double, y double, z double, av double")
+    done = analyse(frame, "id", "g", AT, [], observables=["av"])
+    assert done.fields.first().n_points == 50 and done.groups is done.groups and not made
