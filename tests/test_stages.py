@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators.mixture import Gate, fit_one, fit_two, gate_nodes
 from skein.operators.mixture import score_verdicts
@@ -358,3 +359,70 @@ def test_an_analysis_makes_only_what_is_asked_for(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "id long, g long, x double, y double, z double, av double")
     done = analyse(frame, "id", "g", AT, [], observables=["av"])
     assert done.fields.first().n_points == 50 and done.groups is done.groups and not made
+
+
+def test_both_orders_are_those_of_the_pipeline(spark, nodes, monkeypatch):
+    from skein.plans import orders, refine as plans
+
+    made = []
+    monkeypatch.setattr(orders, "retention_agreement", lambda *a: made.append("fields"))
+    members, scales = nodes
+    rows = [(*r[:5], 7.0 if 10 <= r[0] < 13 else r[5], *r[6:]) for r in planted()]  # a few far off in reddening
+    rows += [(200 + i, 1, 0.1 * i, 0.0, 0.0, (0.5 if i % 2 else 1.5) + 0.001 * i, 5.0 * (i // 30), 0.01 * i) for i in range(60)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    groups = groups_at_radius(frame, "id", "g", AT, 3.0, min_size=10)
+    scales = spark.createDataFrame([(0, 3.0), (1, 3.0)], "g long, cut double")
+    truth = frame.select("g", "id", F.when(F.col("id") % 2 == 0, "t1").otherwise("t2").alias("label"))
+    gates = Gate(("av",)), Gate(("vl", "vb"))
+    seeds = seed_nodes(groups).join(frame.drop("g"), "id")
+    of = lambda t: sorted(map(tuple, t.select("g", "id", "group_id").collect()))
+    want = {order: of(numbered_leaves(pipeline(seeds, scales, each)[-1])) for order, each in (("forward", list(gates)), ("reverse", list(gates)[::-1]))}
+    assert len({x[::2] for x in want["forward"]}) > 5
+    columns = (("forward_s2", "forward_s3"), ("reverse_s3", "reverse_s2"))
+
+    def counts():
+        placed, splits = plans.refine_orders(seed_nodes(groups, sized=True).join(frame.drop("g"), "id"), scales, gates, columns)
+        return sorted(map(str, placed.collect())), sorted(map(str, splits.collect()))
+
+    whole = counts()
+    both = paired_orders(Stage1(scales, groups, None), frame.drop("g"), frame.select("g", "id"), truth, ("t1", "t2"), *gates)
+    assert {order: of(t) for order, t in both.final.items()} == want
+    assert both.labels.count() == 4 and not made
+    # too many links for a task: such nodes go on as tables
+    monkeypatch.setattr("skein.plans.refine.SCAN_EDGES", 5)
+    assert counts() == whole
+    with pytest.raises(RuntimeError):
+        plans.refine_orders(seed_nodes(groups, sized=True).join(frame.drop("g"), "id"), scales, gates, columns, max_passes=1)
+
+
+def test_a_node_that_stays_whole_is_fitted_once_for_both_orders(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from skein.plans import refine as plans
+
+    asked = []
+    real = plans.verdicts_in_task
+    monkeypatch.setattr(plans, "verdicts_in_task", lambda xs, gate: (asked.append((gate.what, len(xs))), real(xs, gate))[1])
+    rng = np.random.default_rng(2)
+    n = 40
+    rows = pd.DataFrame({"node": np.repeat(["0:G001", "0:G002"], n), "g": 0, "root": np.repeat([1, 2], n), "generation": 0, "id": np.arange(2 * n), "scale": 3.0, "x": rng.normal(0, 1, 2 * n), "y": rng.normal(0, 1, 2 * n), "z": rng.normal(0, 1, 2 * n)})
+    rows = rows.assign(o0_0=rng.normal(1, 0.1, 2 * n), o1_0=rng.normal(0, 1, 2 * n), o1_1=rng.normal(0, 1, 2 * n))
+    trees = tuple(plans._Trees(gate, "all", 10, 20, plans.ENDS[gate.scalar]) for gate in (Gate(("av",)), Gate(("vl", "vb"))))
+    out = plans._Orders(trees, (("a", "b"), ("c", "d"))).together(rows, [n, 2 * n])
+    assert sum(k for what, k in asked if what == "reddening") == sum(k for what, k in asked if what == "kinematic") == 2
+    assert (out.loc[out.kind == "row", ["a", "b", "c", "d"]] == 1).all(axis=None) and (out.kind == "splits").sum() == 2
+
+
+def test_stage1_carries_what_is_asked_for(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(g * 1000 + k, g, *(rnd.gauss(20 * (k % 2), 1.5) for _ in range(3)), None if k % 7 == 0 else 0.5 * k) for g, n in ((1, 120), (2, 40)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "id long, g long, x double, y double, z double, av double")
+    plain = spatial_groups(frame, "id", "g", AT)
+    want = sorted((*map(tuple, plain.members.join(frame, ["g", "id"]).select("g", "id", "group_id", "group_rows", *AT, F.nanvl("av", F.lit(None)).alias("av")).collect()),), key=lambda r: r[:2])
+    monkeypatch.setattr("skein.plans.stage1.EARLY_POINTS", 100)  # one field goes first
+    for most in (1000, 100):
+        got = spatial_groups(frame, "id", "g", AT, carry=("av",), forest=False, distinct=True, task_points=most)
+        members = got.members.select("g", "id", "group_id", "group_rows", *AT, F.nanvl("av", F.lit(None)).alias("av"))
+        assert sorted(map(tuple, members.collect()), key=lambda r: r[:2]) == want and got.forest is None
+        assert sorted(map(str, got.scales.collect())) == sorted(map(str, plain.scales.collect()))
