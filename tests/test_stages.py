@@ -426,3 +426,68 @@ def test_stage1_carries_what_is_asked_for(spark, monkeypatch):
         members = got.members.select("g", "id", "group_id", "group_rows", *AT, F.nanvl("av", F.lit(None)).alias("av"))
         assert sorted(map(tuple, members.collect()), key=lambda r: r[:2]) == want and got.forest is None
         assert sorted(map(str, got.scales.collect())) == sorted(map(str, plain.scales.collect()))
+
+
+def test_a_crowded_field_goes_on_without_its_pairs_written(spark, monkeypatch):
+    """Copies of a field at the same places have many pairs; neither these nor a part of them is written."""
+    import numpy as np
+
+    from skein.plans import stage1
+
+    rng = np.random.default_rng(6)
+    places = np.r_[rng.random((250, 3)) * 40, rng.normal(20, 1, (60, 3))]
+    at = np.round(np.r_[places, places + rng.normal(0, 0.01, places.shape), places], 3)
+    frame = spark.createDataFrame([(k, 1, *map(float, p)) for k, p in enumerate(at)] + [(5000, 2, 1.0, 1.0, 1.0)], "id long, g long, x double, y double, z double")
+
+    def found(most):
+        s = stage1.spatial_groups(frame, "id", "g", AT, task_points=most)
+        return [sorted(map(tuple, t.select(*c).collect()), key=str) for t, c in ((s.members, ("g", "id", "group_id", "group_rows")), (s.forest, ("g", "u", "v", "w")), (s.scales, ("g", "n", "limit", "cut", "edges_used")))]
+
+    whole = found(10_000)
+    written: dict[str, int] = {}
+    keep = Scratch.keep
+
+    def seen(self, df, name="t"):
+        table = keep(self, df, name)
+        written[name] = max(written.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(Scratch, "keep", seen)
+    assert found(0) == whole and max(written.values()) < 4 * len(at), written
+    # cubes divided, and fields whose forests are too many for a task
+    monkeypatch.setattr(stage1, "CUBE_POINTS", 10)
+    monkeypatch.setattr(stage1, "CUBE_PARTS", 16)
+    assert found(0) == whole
+    monkeypatch.setattr(stage1, "TASK_FOREST", 5)
+    assert found(0) == whole
+
+
+def test_points_of_one_place_have_the_forest_of_their_pairs():
+    import numpy as np
+
+    from skein.operators.graph import forest_of
+    from skein.operators.near import array_pairs
+    from skein.plans.stage1 import thinned_edges
+
+    rng = np.random.default_rng(8)
+    at = np.round(rng.random((400, 3)) * 4)  # several points a place
+    ids = rng.permutation(400) * 3
+    a, b = array_pairs(at, 1.5, 10**6)
+    u, v, w = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.sqrt(((at[a] - at[b]) ** 2).sum(axis=1))
+    whole = forest_of(u, v, w)
+    # 125 places at most have few pairs
+    for got, want in zip(thinned_edges(ids, at, at, 1.5, most=2000), (u[whole], v[whole], w[whole])):
+        np.testing.assert_array_equal(got, want)
+
+
+def test_pairs_of_one_cell_come_in_runs(monkeypatch):
+    import numpy as np
+
+    from skein.operators import near
+
+    at = np.random.default_rng(1).random((80, 3)) * 3
+    whole = {tuple(sorted(p)) for a, b in near.pair_runs(at, 1.0) for p in zip(a.tolist(), b.tolist())}
+    monkeypatch.setattr(near, "RUN", 7, raising=False)
+    runs = list(near.pair_runs(at, 1.0))
+    assert max(len(a) for a, _ in runs) <= 7 and len(whole) > 100
+    assert sorted(tuple(sorted(p)) for a, b in runs for p in zip(a.tolist(), b.tolist())) == sorted(whole)
