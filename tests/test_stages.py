@@ -491,3 +491,27 @@ def test_pairs_of_one_cell_come_in_runs(monkeypatch):
     runs = list(near.pair_runs(at, 1.0))
     assert max(len(a) for a, _ in runs) <= 7 and len(whole) > 100
     assert sorted(tuple(sorted(p)) for a, b in runs for p in zip(a.tolist(), b.tolist())) == sorted(whole)
+
+
+def written_names(monkeypatch):
+    names, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name="t": names.append(name) or keep(self, df, name))
+    return names
+
+
+def test_the_analysis_writes_its_points_once(spark, monkeypatch):
+    names = written_names(monkeypatch)
+    done = analyse(spark.createDataFrame(planted(), SCHEMA), "id", "g", AT, [Gate(("av",))], observables=["vl"])
+    assert names.count("points") == 1 and "seeds" not in names
+    first = done.stages[0].members.first()
+    assert done.stage1.forest is None and {"x", "y", "z", "av", "vl"} <= set(first.asDict()) and first.av is not None and first.vl is not None
+
+
+def test_refined_queries_tell_the_records_apart_once(spark, monkeypatch):
+    from skein.plans import catalogue
+
+    names, seen = written_names(monkeypatch), []
+    monkeypatch.setattr(catalogue, "pipeline", lambda members, scales, gates: seen.append(members))
+    found, _ = catalogue._staged(spark, "/root/testdata/sf0.001", [Gate(("reddening_mag",))])
+    assert names.count("stars") == 1 and "points" not in names and found.forest is None
+    assert {"g", "node", "root", "generation", "id", "x", "y", "z", "reddening_mag"} <= set(seen[0].columns)
